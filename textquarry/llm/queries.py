@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import scoped
-from . import split, terms
+from . import leaks, shared_spans, split, terms
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,15 @@ def p6_counts(spark: SparkSession, sf: str, ws) -> DataFrame:
     return terms.marked_terms(state.read(), state.records())
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@scoped
+def p9_found(spark: SparkSession, sf: str, ws) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf, "documents"), ws)
+
+
 _BAGS = """
 WITH latest AS (SELECT DISTINCT chunk_ord, shard_no, build_no, term_frequencies AS m FROM (
   SELECT *, rank() OVER (PARTITION BY chunk_ord ORDER BY build_no DESC NULLS LAST) AS r FROM chunk_terms) WHERE r = 1),
@@ -106,6 +115,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
 }
 SQL = {
     "p1_found": P1_FOUND_SQL,
