@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import scoped
-from . import leaks, shared_spans, split, terms
+from . import leaks, packing, shared_spans, split, terms
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def p6_counts(spark: SparkSession, sf: str, ws) -> DataFrame:
     return terms.marked_terms(state.read(), state.records())
 
 
+@scoped
+def p7_pack(spark: SparkSession, sf: str, ws) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), ws)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -115,6 +120,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
+    "p7_pack": p7_pack,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
