@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import scoped
-from . import leaks, packing, shared_spans, split, terms
+from . import leaks, neighbours, packing, shared_spans, split, terms
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p1_residuals(spark: SparkSession, sf: str, ws) -> DataFrame:
     return terms.distinctive_terms(bags, ws, 3, "residual", 2).select("chunk_ord", "term", "tf", "df", "residual")
 
 
+@scoped
+def p2_found(spark: SparkSession, sf: str, ws) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf, "chunk_vectors"), ws)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_oversized(table(spark, sf, "chunks"))
 
@@ -117,6 +122,7 @@ FROM (SELECT *, lead(e) OVER (PARTITION BY chunk_ord, f, t ORDER BY s) AS nxt FR
 QUERIES = {
     "p1_found": p1_found,
     "p1_residuals": p1_residuals,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
