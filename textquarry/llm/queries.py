@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import scoped
-from . import leaks, neighbours, packing, shared_spans, split, terms
+from . import leaks, neighbours, packing, pairs, shared_spans, split, terms
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, sf: str, ws) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf, "chunk_vectors"), ws)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf, "answers"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_oversized(table(spark, sf, "chunks"))
 
@@ -123,6 +127,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_residuals": p1_residuals,
     "p2_found": p2_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
