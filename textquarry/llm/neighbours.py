@@ -139,7 +139,7 @@ def _top(row: np.ndarray, sim: np.ndarray, slack: float, k: int) -> np.ndarray:
 
 
 def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, other, sim)``: pairs of one tile that may be among the ``k`` best of ``row``, at the finer precision."""
+    """``(row, other, sim)``: pairs of one tile, by place, that may be among the ``k`` best of ``row``, at the finer precision."""
     side = _col(table, "side")
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both sides, a block with itself
     code, scale = _codes(table["code"], 2 * dim), _col(table, "scale")
@@ -171,7 +171,7 @@ def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarra
     if not len(row):
         return row, row, both
     top = _top(row, both, slack, k)
-    return ids[row[top]], ids[other[top]], both[top]
+    return row[top], other[top], both[top]
 
 
 def similar_pairs(
@@ -224,7 +224,7 @@ def similar_pairs(
     blocks = np.ones(len(centres.value), np.int64)
     for cell, size in held.where(F.col("n") > BLOCK).collect():  # a row for each large cell
         blocks[cell] = -(-size // BLOCK)
-    names = ["cell", "bi", "bj", "side", "rep", "code", "scale", "err_hi", "err"]
+    names = ["cell", "bi", "bj", "side", "rep", "head", "m", "code", "scale", "err_hi", "err"]
 
     def spread(batches):
         for b in batches:
@@ -243,37 +243,39 @@ def similar_pairs(
             cols = [pa.array(cell[at]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(side)]
             yield pa.RecordBatch.from_arrays(cols + [b.column(c).take(take) for c in names[4:]], names=names)
 
-    spreaded = classes.select(*names[4:]).mapInArrow(spread, f"cell long, bi long, bj long, side long, rep long, {_CODE}")
+    sent = classes.select("rep", F.element_at("members", 1).alias("head"), F.size("members").alias("m"), *names[7:])
+    spreaded = sent.mapInArrow(spread, f"cell long, bi long, bj long, side long, rep long, head long, m int, {_CODE}")
+
+    ends = ["rep", "head", "m"]
 
     def tiles(table: pa.Table) -> pa.Table:
         row, other, sim = tile(table, dim, k, threshold)
-        return pa.table({"row": pa.array(row, pa.int64()), "other": pa.array(other, pa.int64()), "sim": pa.array(sim, pa.float64())})
-
-    near = spreaded.groupBy("cell", "bi", "bj").applyInArrow(tiles, "row long, other long, sim double")
-    near = near.groupBy("row", "other").agg(F.max("sim").alias("sim"))
-    # how many members each side has, for classes of more than one
-    many = classes.where(F.size("members") > 1).select("rep", F.size("members").alias("m"))
-    near = near.join(many.withColumnsRenamed({"rep": "other", "m": "mo"}), "other", "left")
-    near = near.join(many.withColumnsRenamed({"rep": "row", "m": "mr"}), "row", "left")
+        out = {f"{c}_{x}": table[c].take(pa.array(at)) for x, at in (("a", row), ("b", other)) for c in ends}
+        return pa.table({**out, "sim": pa.array(sim, pa.float64())})
+
+    near = spreaded.groupBy("cell", "bi", "bj").applyInArrow(tiles, "rep_a long, head_a long, m_a int, rep_b long, head_b long, m_b int, sim double")
+    # one shuffle: all that follows up to the cut is by rep_a
+    near = near.repartition("rep_a").groupBy("rep_a", "rep_b").agg(*(F.first(c).alias(c) for c in ("head_a", "m_a", "head_b", "m_b")), F.max("sim").alias("sim"))
     # place k, counted in members; own members come first
-    best = Window.partitionBy("row").orderBy(F.col("sim").desc(), "other")
-    cum = F.sum(F.coalesce("mo", F.lit(1))).over(best.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col("mr") - 1, F.lit(0))
-    near = near.withColumn("cum", cum).withColumn("before", F.col("cum") - F.coalesce("mo", F.lit(1)))
-    row = Window.partitionBy("row")
+    best = Window.partitionBy("rep_a").orderBy(F.col("sim").desc(), "rep_b")
+    cum = F.sum("m_b").over(best.rowsBetween(Window.unboundedPreceding, 0)) + F.col("m_a") - 1
+    near = near.withColumn("cum", cum).withColumn("before", F.col("cum") - F.col("m_b"))
+    row = Window.partitionBy("rep_a")
     near = near.withColumn("kth", F.min(F.when(F.col("before") < k, F.col("sim"))).over(row))
     near = near.where(F.col("kth").isNotNull() & (F.col("sim") >= F.col("kth") - slack) | (F.col("sim") >= 1 - slack))
     close = F.abs(F.col("sim") - F.col("kth")) <= slack
     tied = F.sum(F.when(close, 1).otherwise(0)).over(row)
     past = F.max(F.when(close, F.col("cum"))).over(row)
-    unsure = close & (tied > 1) & (past > k) | (F.abs(F.col("sim") - threshold) <= slack) | (F.col("sim") >= 1 - slack)
-    near = ws.cut(near.select("row", "other", "sim", F.coalesce(unsure, F.lit(True)).alias("unsure")), "near")
-
-    doubtful = near.where("unsure").select(F.least("row", "other").alias("x"), F.greatest("row", "other").alias("y")).distinct()
-    doubtful = ws.cut(doubtful, "doubtful")
-    ends = doubtful.select(F.col("x").alias("rep")).union(doubtful.select(F.col("y").alias("rep"))).distinct()
-    ends = ws.cut(ends.join(classes.select("rep", "h1", "h2", F.element_at("members", 1).alias("chunk_ord")), "rep"), "ends")
-    raw = _hashed(vectors, dim).join(ends, ["h1", "h2", "chunk_ord"]).groupBy("rep").agg(F.first("embedding").alias("v"))
-    raw = ws.cut(raw, "raw")
+    unsure = close & (tied > 1) & (past > k) | (F.abs(F.col("sim") - threshold) <= slack) | (F.col("sim") >= 1 - slack) & (F.col("m_a") > 1)
+    near = near.select("rep_a", "head_a", "m_a", "rep_b", "head_b", "m_b", "sim", F.coalesce(unsure, F.lit(True)).alias("unsure"))
+    near = ws.cut(near, "near")
+
+    x, y = F.least("rep_a", "rep_b").alias("x"), F.greatest("rep_a", "rep_b").alias("y")
+    doubtful = ws.cut(near.where("unsure").select(x, y).distinct(), "doubtful")
+    wanted = near.where("unsure").select(F.col("head_a").alias("chunk_ord")).union(near.where("unsure").select("head_b")).distinct()
+    wanted = ws.cut(wanted, "wanted")
+    raw = _hashed(vectors, dim).join(wanted, "chunk_ord").select(F.xxhash64("h1", "h2").alias("rep"), "embedding")
+    raw = ws.cut(raw.groupBy("rep").agg(F.first("embedding").alias("v")), "raw")
     pairs = doubtful.join(raw.withColumnsRenamed({"rep": "x", "v": "vx"}), "x").join(raw.withColumnsRenamed({"rep": "y", "v": "vy"}), "y")
 
     def exact(batches):
@@ -283,24 +285,29 @@ def similar_pairs(
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(sim)], names=["x", "y", "exact"])
 
     sure = pairs.mapInArrow(exact, "x long, y long, exact double")
-    near = near.withColumns({"x": F.least("row", "other"), "y": F.greatest("row", "other")}).join(sure, ["x", "y"], "left")
-    near = near.withColumn("sim", F.coalesce("exact", F.round("sim", 6))).where(F.col("sim") >= threshold)
-
-    heads = classes.select("rep", "members")
-    mine = classes.where(F.size("members") > 1).select(F.col("rep").alias("row"), F.lit(1.0).alias("sim"), "members")
-    lists = near.join(heads.withColumnsRenamed({"rep": "other"}), "other").select("row", "sim", "members").unionByName(mine)
-    lists = lists.select("row", (-F.col("sim")).alias("d"), F.explode("members").alias("c")).distinct()
-    first = Window.partitionBy("row").orderBy("d", "c")
-    lists = lists.withColumn("p", F.row_number().over(first)).where(F.col("p") <= _KEPT)
-    lists = lists.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("d", "c"))).alias("best"))
-    named = classes.select(F.col("rep").alias("row"), "h1", "h2", "members").join(lists, "row")
-    single = named.where(F.size("members") == 1).select(F.col("members")[0].alias("chunk_ord"), "best")
-    several = ws.cut(named.where(F.size("members") > 1).select("h1", "h2", "best"), "several")
+    settled = near.where("unsure").withColumns({"x": x, "y": y}).join(sure, ["x", "y"]).withColumn("sim", F.col("exact"))
+    cols = ["rep_a", "head_a", "m_a", "rep_b", "head_b", "m_b", "sim"]
+    near = near.where("not unsure").select(*cols).unionByName(settled.select(*cols))
+    near = near.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= threshold)
+
+    many = classes.where(F.size("members") > 1).select("rep", "h1", "h2", F.col("members")[0].alias("head"), F.size("members").alias("m"), "members")
+    many = ws.cut(many, "many")
+    own = many.select(F.col("rep").alias("rep_a"), F.col("head").alias("head_a"), F.col("m").alias("m_a"), F.lit(1.0).alias("sim"), "members")
+    several = near.where("m_b > 1").drop("head_b").join(many.select(F.col("rep").alias("rep_b"), "members"), "rep_b")
+    named = ["rep_a", "head_a", "m_a", (-F.col("sim")).alias("d")]
+    lists = near.where("m_b = 1").select(*named, F.col("head_b").alias("c"))
+    lists = lists.unionByName(several.select(*named, F.explode("members").alias("c"))).unionByName(own.select(*named, F.explode("members").alias("c")))
+    first = Window.partitionBy("rep_a").orderBy("d", "c")
+    lists = lists.withColumn("p", F.dense_rank().over(first)).where(F.col("p") <= _KEPT)
+    lists = lists.groupBy("rep_a", "head_a", "m_a").agg(F.array_sort(F.collect_set(F.struct("d", "c"))).alias("best"))
+    lists = ws.cut(lists, "lists")
+    single = lists.where("m_a = 1").select(F.col("head_a").alias("chunk_ord"), "best")
+    several = lists.where("m_a > 1").join(many.select(F.col("rep").alias("rep_a"), "h1", "h2"), "rep_a").select("h1", "h2", "best")
+    # all members of the classes that have more than one, however many
     copies = _hashed(vectors, dim).select("h1", "h2", "chunk_ord").distinct()
-    sized = copies.join(several.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    sized = ws.cut(sized, "copies")
-    weights = sized.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("w"))
-    spread_lists = keyed_lookup(sized, several.join(weights, ["h1", "h2"]), ["h1", "h2"], "w", sized.count())
+    copies = ws.cut(copies.join(many.select("h1", "h2"), ["h1", "h2"], "left_semi"), "copies")
+    weights = copies.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("w"))
+    spread_lists = keyed_lookup(copies, several.join(weights, ["h1", "h2"]), ["h1", "h2"], "w", copies.count())
     every = single.unionByName(spread_lists.select("chunk_ord", "best"))
     mine = F.slice(F.filter("best", lambda s: s["c"] != F.col("chunk_ord")), 1, k)
     out = every.select("chunk_ord", F.explode(mine).alias("s")).select("chunk_ord", F.col("s.c").alias("c"))
