@@ -1,34 +1,266 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators over the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import merkle
+from .functions import spans
+from .functions.tokens import has_text, tokenize
+from .operators import answering, chunking, dense, evaluation, fusion, incremental, lexical, merkle, prompts
+from .oracles import SQL  # noqa: F401  (part of this module's interface)
 from .plans.workspace import scoped
+from .sources.corpus import chunkable, kind_of_path
+
+FLAGSHIP = "bm25_search_batch"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, each once."""
+    return table(spark, sf, "chunks").distinct()
+
+
+def item_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "eval_items").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Answered questions with the sources that were retrieved for them, each once."""
+    rows = table(spark, sf, "answers").where(F.col("question_id").isNotNull())
+    first = F.min(F.struct(F.coalesce("answered_at", F.to_timestamp(F.lit("1970-01-01"))).alias("t"), "question", "answer", "retrieved_sources")).alias("s")
+    return rows.groupBy("question_id").agg(first).select("question_id", "s.question", "s.answer", "s.retrieved_sources")
+
+
 @scoped
 def p3_found(spark: SparkSession, sf: str, ws) -> DataFrame:
     return merkle.changed_files(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"), ws)
 
 
-P3_FOUND_SQL = """
-WITH runs AS (SELECT run_id, row_number() OVER (ORDER BY started_at NULLS FIRST, run_id) AS seq
-  FROM (SELECT DISTINCT run_id, started_at FROM index_runs WHERE status = 'succeeded')),
-state AS (SELECT seq, run_id, file_path, mtime, size FROM (
-  SELECT r.seq, s.*, row_number() OVER (PARTITION BY s.run_id, s.file_path
-    ORDER BY s.seen_at DESC, s.loaded_at DESC, s.scan_id DESC) AS rn
-  FROM file_scans s JOIN runs r USING (run_id) WHERE s.mtime IS NOT NULL AND s.size IS NOT NULL) WHERE rn = 1)
-SELECT n.run_id, n.file_path FROM state n LEFT JOIN state o ON o.file_path = n.file_path AND o.seq = n.seq - 1
-WHERE o.file_path IS NULL OR o.mtime <> n.mtime OR o.size <> n.size
-"""
+# functions
+
+
+def tokenize_chunks(spark, sf):
+    rows = chunk_rows(spark, sf).where(F.col("text").isNotNull())
+    return rows.select("chunk_ord", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+
+
+def _span_rows(rows: DataFrame, column) -> DataFrame:
+    flat = rows.select("doc_id", F.posexplode(column).alias("n", "x"))
+    return flat.select("doc_id", "n", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+
+
+def hard_split_docs(spark, sf):
+    return _span_rows(table(spark, sf, "documents"), spans.hard_split(F.col("text"), 2000))
+
+
+def line_pack_docs(spark, sf):
+    return _span_rows(table(spark, sf, "documents"), spans.line_spans(F.col("text"), 2000))
+
+
+def paragraph_spans(spark, sf):
+    return _span_rows(table(spark, sf, "documents"), spans.paragraph_spans(F.col("text")))
+
+
+def markdown_chunks(spark, sf):
+    return _span_rows(table(spark, sf, "documents").where("kind = 'markdown'"), spans.markdown_spans(F.col("text"), 2000))
+
+
+def python_chunks(spark, sf):
+    rows = chunking.chunk_files(table(spark, sf, "documents").where("kind = 'python'"))
+    return rows.select("file_path", "chunk_in_file", "first_character_index", "last_character_index")
+
+
+@scoped
+def corpus_chunks(spark, sf, ws):
+    rows = chunking.numbered(ws.cut(chunking.chunk_files(table(spark, sf, "documents")), "chunks"), ws)
+    return rows.select("chunk_ord", "file_path", "first_character_index", "last_character_index")
+
+
+def corpus_filter(spark, sf):
+    rows = table(spark, sf, "documents").select("file_path")
+    return rows.where(chunkable(F.col("file_path"))).select("file_path", kind_of_path(F.col("file_path")).alias("kind"))
+
+
+def l2_normalise(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(dense.l2_normalise(F.col("embedding"))).alias("pos", "x"))
+    return rows.select("vec_id", "pos", F.round("x", 6).alias("x"))
+
+
+def question_guard(spark, sf):
+    rows = table(spark, sf, "answers").select("question_id", "question").distinct()
+    return rows.where(has_text(F.col("question")))
+
+
+# lexical index and search
+
+
+def bm25_tf(spark, sf):
+    return lexical.term_counts(chunk_rows(spark, sf))
+
+
+def bm25_df(spark, sf):
+    return lexical.document_frequencies(lexical.term_counts(chunk_rows(spark, sf)))
+
+
+def bm25_doc_len(spark, sf):
+    return lexical.doc_lengths(lexical.term_counts(chunk_rows(spark, sf)))
+
+
+def bm25_stats(spark, sf):
+    chunks = chunk_rows(spark, sf)
+    tf = lexical.term_counts(chunks)
+    n, average = lexical.collection_stats(chunks, lexical.doc_lengths(tf))
+    return tf.agg(F.countDistinct("term").alias("n_terms")).select(
+        F.lit(n).cast("long").alias("n_chunks"), "n_terms", F.round(F.lit(average), 6).alias("avg_chunk_length")
+    )
+
+
+@scoped
+def bm25_search_batch(spark, sf, ws):
+    return lexical.search(item_questions(spark, sf), lexical.fit(chunk_rows(spark, sf), ws), 10)
+
+
+@scoped
+def bm25_no_path_tokens(spark, sf, ws):
+    index = lexical.fit(chunk_rows(spark, sf), ws, k1=1.5, b=0.75, path_tokens=False)
+    return lexical.search(item_questions(spark, sf), index, 10)
+
+
+@scoped
+def search_results(spark, sf, ws):
+    chunks = chunk_rows(spark, sf)
+    questions = item_questions(spark, sf)
+    ranked = lexical.search(questions, lexical.fit(chunks, ws), 10)
+    found = lexical.grouped(questions, ranked, chunks)
+    label = F.transform("retrieved_sources", lambda s: F.concat_ws(":", s["file_path"], s["first_character_index"], s["last_character_index"]))
+    return found.select("question_id", F.size("retrieved_sources").alias("n"), F.array_join(label, " ").alias("sources"))
+
+
+# vectors and fusion
+
+
+def cosine_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    questions = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return dense.cosine_top(questions, vectors, 10, key="vec_id", exclude_self=True)
+
+
+def _rankings(spark, sf, ws):
+    """Two rankings of chunks for every usable vector whose chunk is divisible by 20: by its path's words and by its vector."""
+    chunks = chunk_rows(spark, sf)
+    every = table(spark, sf, "chunk_vectors").where(F.size("embedding") == 128)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = every.where(finite).groupBy("chunk_ord").agg(F.min("embedding").alias("embedding"))
+    mine = vectors.where("chunk_ord % 20 = 0")
+    paths = chunks.groupBy("chunk_ord").agg(F.min("file_path").alias("question"))
+    questions = mine.select("chunk_ord").join(paths, "chunk_ord").select(F.col("chunk_ord").alias("question_id"), "question")
+    pool = fusion.pool_size(10)
+    by_words = lexical.search(questions, lexical.fit(chunks, ws), pool)
+    by_vector = dense.cosine_top(mine.select(F.col("chunk_ord").alias("question_id"), "embedding"), vectors, pool)
+    return by_words, by_vector
+
+
+@scoped
+def hybrid_search(spark, sf, ws):
+    return fusion.hybrid(*_rankings(spark, sf, ws), 10)
+
+
+@scoped
+def rrf_equal(spark, sf, ws):
+    return fusion.fuse(*_rankings(spark, sf, ws), limit=10)
+
+
+# evaluation: answers' retrieved sources against the sources that a lexical search finds
+
+
+def _ranked_docs(spark, sf):
+    """True and retrieved sources: what answers cite, and their list turned round as another system's result."""
+    rows = asked(spark, sf)
+    truth = rows.select("question_id", F.slice("retrieved_sources", 1, 3).alias("sources"), "answer")
+    shifted = F.transform("retrieved_sources", lambda s: F.struct(
+        s["file_path"].alias("file_path"), (s["first_character_index"] + 300).alias("first_character_index"), (s["last_character_index"] + 500).alias("last_character_index")))
+    return truth, rows.select("question_id", F.reverse(shifted).alias("retrieved_sources"))
+
+
+def iou_pairs(spark, sf):
+    return evaluation.overlaps(*_ranked_docs(spark, sf))
+
+
+def recall_at_k(spark, sf):
+    return evaluation.recall(*_ranked_docs(spark, sf))
+
+
+def mean_recall(spark, sf):
+    return evaluation.mean_recall(*_ranked_docs(spark, sf))
+
+
+# prompts and answers
+
+
+def prompt_blocks(spark, sf):
+    return prompts.prompt_blocks(asked(spark, sf), table(spark, sf, "documents"))
+
+
+def prompt_text(spark, sf):
+    return prompts.prompts(asked(spark, sf), table(spark, sf, "documents"))
+
+
+def source_slices(spark, sf):
+    return prompts.source_texts(asked(spark, sf), table(spark, sf, "documents"))
+
+
+def answer_dataset(spark, sf):
+    rows = answering.answer_results(asked(spark, sf), table(spark, sf, "documents"))
+    return rows.select("question_id", F.coalesce(F.size("retrieved_sources"), F.lit(-1)).alias("n"), "answer")
+
+
+# manifests and incremental indexing
+
+
+def _snapshots(spark, sf):
+    """Files of the last two succeeded runs."""
+    states = merkle.file_states(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"))
+    last = table(spark, sf, "index_runs").where("status = 'succeeded'").select("run_id").distinct().count()
+    own = [incremental.manifest(states.where(F.col(merkle.VERSION) == v)) for v in (last - 1, last)]
+    return own[0], own[1]
+
+
+def manifest_diff(spark, sf):
+    return incremental.diff_manifests(*_snapshots(spark, sf))
+
+
+@scoped
+def incremental_df(spark, sf, ws):
+    """Document frequencies after an incremental build on what the last run changed."""
+    old, new = _snapshots(spark, sf)
+    files = table(spark, sf, "documents").where("kind = 'markdown'").select("file_path", "kind", "text")
+    before = files.join(old, "file_path", "left_semi")
+    diff = ws.cut(incremental.diff_manifests(old, new), "diff")
+    chunks0 = ws.cut(chunking.numbered(ws.cut(chunking.chunk_files(before), "c0"), ws), "chunks0")
+    postings0 = ws.cut(lexical.term_counts(chunks0), "postings0")
+    chunks1 = ws.cut(incremental.update_chunks(chunks0, files, diff, chunking.MAX_CHUNK_SIZE, ws), "chunks1")
+    return lexical.document_frequencies(incremental.update_postings(chunks0, postings0, chunks1, diff))
+
+
+@scoped
+def full_df(spark, sf, ws):
+    """The same by a full build; its rows must equal those of ``incremental_df``."""
+    _, new = _snapshots(spark, sf)
+    files = table(spark, sf, "documents").where("kind = 'markdown'").select("file_path", "kind", "text")
+    chunks = chunking.numbered(ws.cut(chunking.chunk_files(files.join(new, "file_path", "left_semi")), "chunks"), ws)
+    return lexical.document_frequencies(lexical.term_counts(chunks))
 
-FLAGSHIP = "p3_found"
 
-QUERIES = {"p3_found": p3_found}
-SQL = {"p3_found": P3_FOUND_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, tokenize_chunks, hard_split_docs, line_pack_docs, paragraph_spans, markdown_chunks, python_chunks, corpus_chunks, corpus_filter,
+        l2_normalise, question_guard, bm25_tf, bm25_df, bm25_doc_len, bm25_stats, bm25_search_batch, bm25_no_path_tokens, search_results,
+        cosine_topk, hybrid_search, rrf_equal, iou_pairs, recall_at_k, mean_recall, prompt_blocks, prompt_text, source_slices, answer_dataset,
+        manifest_diff, incremental_df, full_df,
+    )
+}
