@@ -111,4 +111,5 @@ def iou(a: Column, b: Column) -> Column:
     s1, e1, s2, e2 = (x[k] for x in (a, b) for k in ("first_character_index", "last_character_index"))
     shared = F.least(e1, e2) - F.greatest(s1, s2)
     whole = F.greatest(e1, e2) - F.least(s1, s2)
-    return F.when((a["file_path"] == b["file_path"]) & (shared > 0), shared / whole).otherwise(F.lit(0.0))
+    given = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()  # least and greatest pass over nulls
+    return F.when((a["file_path"] == b["file_path"]) & given & (shared > 0), shared / whole).otherwise(F.lit(0.0))

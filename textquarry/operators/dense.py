@@ -7,8 +7,8 @@ import zlib
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,26 +59,21 @@ def cosine_top(
 
         def score(batches, held=held):
             for b in batches:
-                keys, lists = b.column(0).to_pylist(), b.column(1).to_pylist()
-                got: tuple[list, list, list] = [], [], []
+                lists = b.column(1).to_pylist()
+                sizes = np.asarray([len(v) for v in lists], dtype=np.int64)
+                got: list[tuple[list, list, np.ndarray]] = []
                 for d, (ids, q) in held.value.items():
-                    at = [j for j, v in enumerate(lists) if len(v) == d]
-                    if not at:
+                    at = np.flatnonzero(sizes == d)
+                    if not len(at) or not d:
                         continue
-                    s = np.round(_units([lists[j] for j in at]) @ q.T, 6)
-                    own_keys = np.asarray([keys[j] for j in at], dtype=object)
-                    order = np.argsort(own_keys, kind="stable")
-                    s, own_keys = s[order], own_keys[order]
-                    for c, question in enumerate(ids):
-                        col = s[:, c]
-                        m = min(len(col), k + 1)
-                        edge = np.partition(col, len(col) - m)[len(col) - m] if m else 0.0
-                        keep = np.flatnonzero((col >= edge) & (col > 0))
-                        keep = keep[np.argsort(-col[keep], kind="stable")][:m]
-                        got[0].extend([question] * len(keep))
-                        got[1].extend(own_keys[keep].tolist())
-                        got[2].extend(col[keep].tolist())
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"question_id": got[0], key: got[1], "score": got[2]}), schema=pa.schema([("question_id", _arrow(qkind)), (key, _arrow(kind)), ("score", pa.float64())]), preserve_index=False)
+                    own_keys = b.column(0).take(pa.array(at))
+                    order = np.asarray(pc.sort_indices(own_keys))
+                    own_keys = own_keys.take(pa.array(order))
+                    s = np.round(_units([lists[j] for j in at[order]]) @ q.T, 6)
+                    r, c = _best(s, k + 1)
+                    got.append(([ids[j] for j in c], own_keys.take(pa.array(r)).to_pylist(), s[r, c]))
+                cols = [pa.array([x for g in got for x in g[i]], kind) for i, kind in enumerate((_arrow(qkind), _arrow(kind), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["question_id", key, "score"])
 
         part = rows.mapInArrow(score, f"question_id {qkind}, `{key}` {kind}, score double")
         out = part if out is None else out.unionByName(part)
@@ -88,6 +83,17 @@ def cosine_top(
     return out.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``m`` greatest values above 0 of each column; at ties the upper rows."""
+    n = len(s)
+    edge = np.partition(s, n - m, axis=0)[n - m] if n > m else np.full(s.shape[1], -2.0)
+    mask = (s >= edge) & (s > 0)
+    for c in np.flatnonzero(mask.sum(axis=0) > m):
+        ties = np.flatnonzero(mask[:, c] & (s[:, c] == edge[c]))
+        mask[ties[m - int((mask[:, c] & (s[:, c] > edge[c])).sum()) :], c] = False
+    return np.nonzero(mask)
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
