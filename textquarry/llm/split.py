@@ -48,7 +48,8 @@ def pieces(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVE
                 break
         out.append((s, e))
         s = max(bisect_right(size, size[e] - overlap) - 1, s + 1)
-    out.append((s, n))
+    if s < n or not out:
+        out.append((s, n))
     return out
 
 

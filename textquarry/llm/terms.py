@@ -100,7 +100,9 @@ class TermCounts:
         self.ws, self.version = ws, -1
 
     def read(self) -> DataFrame:
-        return self.ws.spark.read.parquet(self.ws.at(f"v{self.version}/counts"))
+        """``(term, tf, df, bucket)`` of the current version."""
+        schema = "term string, tf long, df long, bucket int"  # given, since without terms there is no file
+        return self.ws.spark.read.schema(schema).parquet(self.ws.at(f"v{self.version}/counts"))
 
     def records(self) -> int:
         return self.ws.spark.read.parquet(self.ws.at(f"v{self.version}/records")).agg(F.sum("n")).first()[0] or 0
@@ -114,7 +116,7 @@ class TermCounts:
         n = heads.agg(F.sum("sign").cast("long").alias("n"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).alias("bucket")
         if self.version >= 0:
-            old = self.ws.spark.read.parquet(self.ws.at(f"v{self.version}/counts")).select("term", "tf", "df")
+            old = self.read().select("term", "tf", "df")
             delta = old.unionByName(delta).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
             n = n.unionByName(self.ws.spark.read.parquet(self.ws.at(f"v{self.version}/records")))
         merged = delta.where((F.col("df") != 0) | (F.col("tf") != 0)).select("term", "tf", "df", bucket)
