@@ -138,6 +138,19 @@ def _top(row: np.ndarray, sim: np.ndarray, slack: float, k: int) -> np.ndarray:
     return mask
 
 
+def _survivors(near: np.ndarray, least: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that reach ``least`` and, where many do, may be among the ``k`` best of their row or column.
+
+    The diagonal of a block with itself takes one of the places, hence ``k + 1``.
+    """
+    mask = near >= least
+    if mask.sum() > 32 * sum(near.shape) and min(near.shape) > k + 1:
+        rows = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] - slack
+        cols = np.partition(near, -(k + 1), axis=0)[-(k + 1)] - slack
+        mask &= (near >= rows[:, None]) | (near >= cols[None, :])
+    return np.nonzero(mask)
+
+
 def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, other, sim)``: pairs of one tile, by place, that may be among the ``k`` best of ``row``, at the finer precision."""
     side = _col(table, "side")
@@ -145,7 +158,8 @@ def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarra
     code, scale = _codes(table["code"], 2 * dim), _col(table, "scale")
     err_hi, err, ids = _col(table, "err_hi"), _col(table, "err"), _col(table, "rep")
     hi = code[:, :dim].astype(np.float32)
-    rs, cs = [], []
+    slack = 2 * (2.01 * float(err.max()) + 1e-6) if len(err) else 0.0
+    parts = []
     for i in range(0, len(left), 1024):
         a = left[i : i + 1024]
         for j in range(0, len(right), 4096):
@@ -153,20 +167,21 @@ def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarra
             near = hi[a] @ hi[b].T  # exact: whole numbers below 2**24
             near *= scale[a].astype(np.float32)[:, None]
             near *= scale[b].astype(np.float32)[None, :]
-            x, y = np.nonzero(near >= threshold - 1e-5 - 1.02 * (err_hi[a].max() + err_hi[b].max()))
+            rough = 1e-5 + 1.02 * (err_hi[a].max() + err_hi[b].max())
+            x, y = _survivors(near, threshold - rough, 2 * rough, k)
             keep = (ids[a[x]] < ids[b[y]]) if side[a[0]] == 2 else slice(None)
-            rs.append(a[x][keep])
-            cs.append(b[y][keep])
-    r, c = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rs, cs))
-    sims = []
-    for i in range(0, len(r), 65536):
-        p, q = r[i : i + 65536], c[i : i + 65536]
-        fine = [hi[v] + code[v, dim:].astype(np.float32) / np.float32(254.0) for v in (p, q)]
-        sims.append(np.einsum("ij,ij->i", *fine, dtype=np.float64) * scale[p] * scale[q])
-    sim = np.concatenate(sims) if sims else np.zeros(0)
-    slack = 2 * (2.01 * float(err.max()) + 1e-6) if len(err) else 0.0
-    ok = sim >= threshold - slack
-    r, c, sim = r[ok], c[ok], sim[ok]
+            r, c = a[x][keep], b[y][keep]
+            sim = np.zeros(len(r))
+            for h in range(0, len(r), 65536):
+                p, q = r[h : h + 65536], c[h : h + 65536]
+                fine = [hi[v] + code[v, dim:].astype(np.float32) / np.float32(254.0) for v in (p, q)]
+                sim[h : h + 65536] = np.einsum("ij,ij->i", *fine, dtype=np.float64) * scale[p] * scale[q]
+            ok = np.flatnonzero(sim >= threshold - slack)
+            if len(ok):  # what isn't among the best of this part isn't among the best at all
+                r, c, sim = r[ok], c[ok], sim[ok]
+                ok = _top(r, sim, slack, k) | _top(c, sim, slack, k)
+                parts.append((r[ok], c[ok], sim[ok]))
+    r, c, sim = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     row, other, both = np.concatenate([r, c]), np.concatenate([c, r]), np.concatenate([sim, sim])
     if not len(row):
         return row, row, both

@@ -147,6 +147,7 @@ def shared_spans(documents: DataFrame, ws: Workspace, min_length: int = MIN_LENG
     ranges = ranges.groupBy(*CLASS).agg(F.collect_set(F.struct("a", "b")).alias("r"))
     extended = ranges.join(classes.select(*CLASS, "w"), CLASS).select(*CLASS, "w", "r")
 
-    hits = keyed_lookup(shared, settled.unionByName(extended), CLASS, "w", members)
+    found = ws.cut(settled.unionByName(extended), "found")
+    hits = keyed_lookup(shared, found, CLASS, "w", members)
     hits = hits.select("doc_id", "pos", F.explode("r").alias("r"))
     return merged(hits.select("doc_id", (F.col("pos") - F.col("r.b")).alias("s"), (F.col("pos") - F.col("r.a") + min_length).alias("e")))
