@@ -31,7 +31,7 @@ def test_bm25_golden(spark, ws):
 def test_bm25_edges(spark, ws, monkeypatch, tmp_path):
     rows = [(0, "a_b.py", "x"), (0, "a_b.py", "x"), (1, "c.py", None), (None, "d.py", "x"), (2, None, "y x"), (3, "e", "")]
     chunks = spark.createDataFrame(rows, "chunk_ord long, file_path string, text string")
-    index = lexical.fit(chunks, ws)
+    index = lexical.fit(chunks.distinct(), ws)
     assert index.n_chunks == 4  # a null number is no chunk, an unreadable one is
     tf = {(r.chunk_ord, r.term): r.tf for r in index.postings.collect()}
     assert tf == {(0, "x"): 1, (0, "a_b"): 1, (0, "a"): 1, (0, "b"): 1, (0, "py"): 1, (2, "x"): 1, (2, "y"): 1, (3, "e"): 1}

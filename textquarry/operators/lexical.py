@@ -62,12 +62,11 @@ def collection_stats(chunks: DataFrame, dl: DataFrame) -> tuple[int, float]:
 
 
 def fit(chunks: DataFrame, ws: Workspace, k1: float = K1, b: float = B, path_tokens: bool = True) -> LexicalIndex:
-    """Index of ``chunks (chunk_ord, file_path, text)``; rows repeated as a whole count once.
+    """Index of ``chunks (chunk_ord, file_path, text)``; repeated rows would add up and must be removed before.
 
     Texts are tokenized once. The chunk lengths ride in the postings, which are
     shuffled by chunk for that anyway; scoring then needs no join for them.
     """
-    chunks = chunks.select("chunk_ord", "file_path", "text").distinct()
     tf = term_counts(chunks, path_tokens)
     dl = F.sum("tf").over(Window.partitionBy("chunk_ord"))
     postings = ws.cut(tf.withColumn("dl", dl), "postings")
