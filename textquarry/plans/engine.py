@@ -14,6 +14,7 @@ from ..functions.spans import check_size
 from ..operators import answering, chunking, dense, evaluation, fusion, incremental, lexical, prompts
 from ..sources import jsonio
 from ..sources.corpus import read_corpus
+from .ship import ship
 from .workspace import Workspace, delete_path, list_names, rename_path
 
 #: Changes whenever tokens change, so that an index of another tokenizer isn't added to.
@@ -62,6 +63,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, index_dir: str, encoder: dense.Encoder | None = None, generator: answering.Generator | None = None):
+        ship(spark)
         self.spark, self.path = spark, index_dir.rstrip("/")
         self.encoder, self.generator = encoder or dense.HashEncoder(), generator or answering.ExtractiveGenerator()
         self.cache = QueryCache()

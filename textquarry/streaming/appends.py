@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.tokens import tokenize
 from ..operators import chunking
+from ..plans.ship import ship
 
 
 def stream_postings(files: DataFrame, target: str, checkpoint: str, size: int = chunking.MAX_CHUNK_SIZE) -> StreamingQuery:
@@ -18,6 +19,8 @@ def stream_postings(files: DataFrame, target: str, checkpoint: str, size: int =
     postings are there exactly once. Runs over what is available, then stops.
     """
 
+    ship(files.sparkSession)
+
     def write(batch: DataFrame, number: int) -> None:
         chunks = chunking.chunk_files(batch, size)
         tokens = F.concat(tokenize(F.col("text")), tokenize(F.col("file_path")))
