@@ -123,6 +123,33 @@ SELECT DISTINCT chunk_ord, f + s AS first_character_index,
 FROM (SELECT *, lead(e) OVER (PARTITION BY chunk_ord, f, t ORDER BY s) AS nxt FROM cut)
 """
 
+P2_FOUND_SQL = """
+WITH v AS (SELECT DISTINCT chunk_ord, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 128 AND chunk_ord IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_ord AS a, b.chunk_ord AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.chunk_ord <> b.chunk_ord),
+t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.75)
+SELECT DISTINCT least(a, b) AS chunk_ord_a, greatest(a, b) AS chunk_ord_b FROM t WHERE r <= 5
+"""
+
+_RUNS = "list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))"
+P8_FOUND_SQL = f"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items),
+g AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 20),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+r AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 20)
+SELECT DISTINCT doc_id, item_id FROM r JOIN g USING (run)
+"""
+
+P9_FOUND_SQL = """
+WITH w AS (SELECT doc_id, p, md5_number(substr(text, p + 1, 400)) AS h
+  FROM (SELECT doc_id, text, unnest(range(0, length(text) - 399)) AS p FROM documents WHERE length(text) >= 400)),
+k AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, p FROM w JOIN k USING (h)),
+n AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= 400 THEN 0 ELSE 1 END AS first FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n)
+SELECT doc_id, min(p) AS span_start, max(p) + 400 AS span_end FROM g GROUP BY doc_id, run
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_residuals": p1_residuals,
@@ -138,7 +165,10 @@ QUERIES = {
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_residuals": P1_RESIDUALS_SQL,
+    "p2_found": P2_FOUND_SQL,
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_counts": P6_COUNTS_SQL,
+    "p8_found": P8_FOUND_SQL,
+    "p9_found": P9_FOUND_SQL,
 }
