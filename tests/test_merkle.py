@@ -48,13 +48,13 @@ def test_a_lost_race_is_not_published(spark, tmp_path):
     assert store.versions() == [1] and store.read("output").first().size == 2
 
 
-def test_only_differing_leaves_are_found(spark):
+def test_only_differing_leaves_are_found(spark, ws):
     rows = [(v, f"p{i}", 1.0, 1 if (v, i) != (2, 7) else 2) for v in (1, 2) for i in range(500)]
     df = spark.createDataFrame(rows, f"{merkle.VERSION} int, {KIND}").withColumn("_leaf", merkle.leaf_of(["path"], 3))
     tree = merkle.build_tree(df, ["path"], ["mtime", "size"], 3)
-    leaves = merkle.changed_leaves(tree, 3).where(f"{merkle.VERSION} = 2").collect()
+    leaves = merkle.changed_leaves(tree, 3, ws).where(f"{merkle.VERSION} = 2").collect()
     assert len(leaves) == 1
-    found = merkle.changed_records(df, ["path"], ["mtime", "size"], 3).where(f"{merkle.VERSION} = 2").collect()
+    found = merkle.changed_records(df, ["path"], ["mtime", "size"], 3, tree, ws).where(f"{merkle.VERSION} = 2").collect()
     assert [(r.path, r.size) for r in found] == [("p7", 2)]
 
 

@@ -62,12 +62,13 @@ def build_tree(records: DataFrame, keys: list[str], state: list[str], depth: int
     return tree
 
 
-def changed_leaves(tree: DataFrame, depth: int) -> DataFrame:
+def changed_leaves(tree: DataFrame, depth: int, ws: Workspace) -> DataFrame:
     """``(_version, node)``: leaves of a version that differ from the version before it.
 
     The tree is descended level by level: a node is compared only if its parent
-    differs. Versions must be consecutive whole numbers; a version without a
-    predecessor differs everywhere.
+    differs. What differs on a level is written before the next one, so the
+    plan doesn't grow with the depth. Versions must be consecutive whole
+    numbers; a version without a predecessor differs everywhere.
     """
     before = tree.withColumn(VERSION, F.col(VERSION) + 1)
     changed: DataFrame | None = None
@@ -86,19 +87,19 @@ def changed_leaves(tree: DataFrame, depth: int) -> DataFrame:
         )
         # nodes that only the old version has hold removed records, no new or changed ones
         changed = pairs.where(~F.col("was").eqNullSafe(F.struct("h1", "h2", "n"))).select(VERSION, "node")
+        changed = ws.cut(changed, f"changed-{d}")
     return changed
 
 
 def changed_records(
-    records: DataFrame, keys: list[str], state: list[str], depth: int, tree: DataFrame | None = None, carry: tuple = ()
+    records: DataFrame, keys: list[str], state: list[str], depth: int, tree: DataFrame, ws: Workspace, carry: tuple = ()
 ) -> DataFrame:
     """``(_version, keys, state, carry)``: records that are new, or have another state, against the version before.
 
     ``records``: unique per ``_version`` and ``keys``, with ``_leaf``. States are
     compared exactly and null-safely. An empty table gives an empty result.
     """
-    tree = build_tree(records, keys, state, depth) if tree is None else tree
-    leaves = changed_leaves(tree, depth).withColumnRenamed("node", "_leaf")
+    leaves = changed_leaves(tree, depth, ws).withColumnRenamed("node", "_leaf")
     now = records.join(leaves, [VERSION, "_leaf"], "left_semi")
     old = records.withColumn(VERSION, F.col(VERSION) + 1).join(leaves, [VERSION, "_leaf"], "left_semi")
     old = old.select(VERSION, *keys, F.struct(*state).alias("_was"))
@@ -152,9 +153,11 @@ class SnapshotStore:
             zero = F.lit(0)
             records = records.unionByName(self.read("records", last).withColumn(VERSION, zero))
             tree = tree.unionByName(self.read("tree", last).withColumn(VERSION, zero))
-        found = changed_records(records, self.keys, self.state, self.depth, tree)
+        ws = Workspace(self.spark, "descent")
+        found = changed_records(records, self.keys, self.state, self.depth, tree, ws)
         found = found.where(F.col(VERSION) == 1).drop(VERSION)
         (work(found) if work else found).write.parquet(f"{stage}/output")
+        ws.close()
         target = f"{self.path}/v{last + 1}"
         if path_exists(self.spark, target) or not rename_path(self.spark, stage, target):
             delete_path(self.spark, stage)
@@ -200,7 +203,7 @@ def changed_files(scans: DataFrame, runs: DataFrame, ws: Workspace) -> DataFrame
     stage, live = ws.at("_staging"), ws.at("v1")
     build_tree(records, ["file_path"], state, depth).write.parquet(f"{stage}/tree")
     tree = spark.read.parquet(f"{stage}/tree")
-    found = changed_records(records, ["file_path"], state, depth, tree, carry=("run_id",))
+    found = changed_records(records, ["file_path"], state, depth, tree, ws, carry=("run_id",))
     found.select("run_id", "file_path").write.parquet(f"{stage}/output")
     if not rename_path(spark, stage, live):
         raise RuntimeError("output and tree could not be published")
