@@ -46,6 +46,7 @@ def test_bm25_edges(spark, ws, monkeypatch, tmp_path):
     places = chunks.withColumns({"first_character_index": F.lit(0), "last_character_index": F.lit(1)})
     got = {r.question_id: len(r.retrieved_sources) for r in lexical.grouped(q, lexical.search(q, index, 9), places).collect()}
     assert got == {"x": 2, "n": 0, "none": 0}
+    assert {(r.chunk_ord, r.dl) for r in index.postings.collect()} == {(0, 5), (2, 2), (3, 1)}
     empty = lexical.fit(chunks.limit(0), ws)
     assert empty.avg_chunk_length == 0.0 and lexical.search(q, empty, 5).count() == 0
 

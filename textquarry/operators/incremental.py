@@ -49,11 +49,11 @@ def update_chunks(kept_from: DataFrame | None, files: DataFrame, diff: DataFrame
 
 
 def update_postings(old_chunks: DataFrame, old_postings: DataFrame, chunks: DataFrame, diff: DataFrame) -> DataFrame:
-    """``(chunk_ord, term, tf)``: postings of unchanged files are renumbered, changed files alone are tokenized."""
+    """``(chunk_ord, term, tf, dl)``: postings of unchanged files are renumbered, changed files alone are tokenized."""
     same = diff.where("status = 'unchanged'").select("file_path")
     key = ["file_path", "chunk_in_file"]
     moved = old_chunks.join(same, "file_path", "left_semi").select(*key, F.col("chunk_ord").alias("old_ord"))
     moved = moved.join(chunks.select(*key, "chunk_ord"), key).select("old_ord", "chunk_ord")
-    kept = old_postings.select(F.col("chunk_ord").alias("old_ord"), "term", "tf").join(moved, "old_ord").select("chunk_ord", "term", "tf")
+    kept = old_postings.select(F.col("chunk_ord").alias("old_ord"), "term", "tf", "dl").join(moved, "old_ord").select("chunk_ord", "term", "tf", "dl")
     new = chunks.join(diff.where("status = 'changed'").select("file_path"), "file_path", "left_semi")
     return kept.unionByName(lexical.term_counts(new))

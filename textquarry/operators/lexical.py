@@ -16,21 +16,23 @@ BROADCAST_TERMS = 200_000
 
 
 def term_counts(chunks: DataFrame, path_tokens: bool = True) -> DataFrame:
-    """``(chunk_ord, term, tf)``: tokens of a chunk's text and, folded in, of its file's path.
+    """``(chunk_ord, term, tf, dl)``: tokens of a chunk's text and, folded in, of its file's path; ``dl`` counts them all.
 
-    ``chunks``: ``(chunk_ord, file_path, text)``. A null text (an unreadable
-    file) has no terms at all; null ``chunk_ord`` is dropped.
+    ``chunks``: ``(chunk_ord, file_path, text)``, each number once. A null text
+    (an unreadable file) has no terms at all; null ``chunk_ord`` is dropped.
+    The length comes from the row itself, so one shuffle of counts is all.
     """
     tokens = tokenize(F.col("text"))
     if path_tokens:
         tokens = F.concat(tokens, tokenize(F.col("file_path")))
-    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_ord").isNotNull())
-    return rows.select("chunk_ord", F.explode(tokens).alias("term")).groupBy("chunk_ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_ord").isNotNull()).select("chunk_ord", tokens.alias("tokens"))
+    rows = rows.select("chunk_ord", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("chunk_ord", "term", "tf", "dl")
 
 
-def doc_lengths(tf: DataFrame) -> DataFrame:
+def doc_lengths(postings: DataFrame) -> DataFrame:
     """``(chunk_ord, dl)``"""
-    return tf.groupBy("chunk_ord").agg(F.sum("tf").alias("dl"))
+    return postings.groupBy("chunk_ord").agg(F.max("dl").alias("dl"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -64,13 +66,15 @@ def collection_stats(chunks: DataFrame, dl: DataFrame) -> tuple[int, float]:
 def fit(chunks: DataFrame, ws: Workspace, k1: float = K1, b: float = B, path_tokens: bool = True) -> LexicalIndex:
     """Index of ``chunks (chunk_ord, file_path, text)``; repeated rows would add up and must be removed before.
 
-    Texts are tokenized once. The chunk lengths ride in the postings, which are
-    shuffled by chunk for that anyway; scoring then needs no join for them.
+    Texts are tokenized once. The chunk lengths ride in the postings, so scoring
+    needs no join for them.
     """
-    tf = term_counts(chunks, path_tokens)
-    dl = F.sum("tf").over(Window.partitionBy("chunk_ord"))
-    postings = ws.cut(tf.withColumn("dl", dl), "postings")
-    n, average = collection_stats(chunks, postings.groupBy("chunk_ord").agg(F.first("dl").alias("dl")))
+    return from_postings(chunks, term_counts(chunks, path_tokens), ws, k1, b)
+
+
+def from_postings(chunks: DataFrame, postings: DataFrame, ws: Workspace, k1: float = K1, b: float = B) -> LexicalIndex:
+    postings = ws.cut(postings, "postings")
+    n, average = collection_stats(chunks, doc_lengths(postings))
     return LexicalIndex(postings, ws.cut(document_frequencies(postings), "df"), n, average, k1, b)
 
 

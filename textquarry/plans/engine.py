@@ -115,7 +115,7 @@ class Engine:
                 tf = incremental.update_postings(old_chunks, self.spark.read.parquet(self.at("index/postings")), chunks, diff)
             else:
                 tf = lexical.term_counts(chunks)
-            lexical.save(self._fitted(chunks, tf, ws), f"{stage}/index")
+            lexical.save(lexical.from_postings(chunks, tf, ws), f"{stage}/index")
             if build_embeddings:
                 dense.embed(chunks, self.encoder, "chunk_ord", "text").write.parquet(f"{stage}/vectors")
             files.select("file_path", "text").write.parquet(f"{stage}/files")
@@ -133,14 +133,6 @@ class Engine:
         n, terms = self.lexical_index().summary()
         return {"chunks": n, "terms": terms, "reprocessed": changed, "version": last + 1}
 
-    @staticmethod
-    def _fitted(chunks: DataFrame, tf: DataFrame, ws: Workspace) -> lexical.LexicalIndex:
-        from pyspark.sql import Window
-
-        postings = ws.cut(tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("chunk_ord"))), "postings")
-        n, average = lexical.collection_stats(chunks, postings.groupBy("chunk_ord").agg(F.first("dl").alias("dl")))
-        return lexical.LexicalIndex(postings, lexical.document_frequencies(postings), n, average)
-
     # loading
 
     def _table(self, name: str) -> DataFrame:

@@ -99,7 +99,7 @@ def question_guard(spark, sf):
 
 
 def bm25_tf(spark, sf):
-    return lexical.term_counts(chunk_rows(spark, sf))
+    return lexical.term_counts(chunk_rows(spark, sf)).drop("dl")
 
 
 def bm25_df(spark, sf):
