@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import textquarry.llm.shared_spans as module
 from textquarry.llm import winnow
 from textquarry.llm.shared_spans import shared_spans
 from textquarry.plans.workspace import Workspace
@@ -49,6 +50,7 @@ def _docs(seed):
 @pytest.mark.parametrize("seed,m,gram", [(1, 40, 10), (2, 40, 40), (3, 25, 6)])
 def test_against_brute_force(spark, ws, monkeypatch, seed, m, gram):
     monkeypatch.setattr(winnow, "SEGMENT", 64)
+    monkeypatch.setattr(module, "BROADCAST_CLASSES", 100_000 if seed == 1 else 0)
     docs = _docs(seed)
     df = spark.createDataFrame([(*x, 1) for x in docs] + [(None, docs[0][1], 1), (9999, None, 1)], "doc_id long, text string, pos int").repartition(3)
     rows = shared_spans(df, ws, m, gram).collect()

@@ -12,6 +12,8 @@ from ..plans.workspace import Workspace
 from .winnow import anchors
 
 MIN_LENGTH, GRAM = 400, 100
+#: Open classes up to this number are broadcast to the texts (a row has 60 bytes); for more, the texts are shuffled.
+BROADCAST_CLASSES = 100_000
 CLASS = ["h", "rl", "rh", "ctx"]
 
 
@@ -140,6 +142,9 @@ def shared_spans(documents: DataFrame, ws: Workspace, min_length: int = MIN_LENG
     opened = opened.where("open and n > 1").select("h", "n")
     todo = keyed_lookup(classes.drop("w"), opened, ["h"], "n", classes.count())
     todo = todo.select(*CLASS, "dmin", "dmax", F.col("rep.doc_id").alias("doc_id"), F.col("rep.pos").alias("pos"))
+    todo = ws.cut(todo, "unsettled")
+    if todo.count() <= BROADCAST_CLASSES:
+        todo = F.broadcast(todo)
     texts = documents.where(F.length("text") >= min_length).select("doc_id", "text")
     around = F.substring(F.col("text"), F.col("pos") - F.col("rl") + 1, F.col("rl") - F.col("rh") + min_length)
     todo = ws.cut(todo.join(texts, "doc_id").select(*CLASS, "dmin", "dmax", around.alias("text")), "open")
