@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dense
 from ..plans.workspace import scoped
 from . import leaks, neighbours, packing, pairs, shared_spans, split, terms
 
@@ -30,6 +31,19 @@ def p2_found(spark: SparkSession, sf: str, ws) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf, "chunk_vectors"), ws)
 
 
+@scoped
+def p2_recall(spark: SparkSession, sf: str, ws) -> DataFrame:
+    """Share of the true pairs that ``p2_found`` has, by brute force for the chunks whose number is divisible by 20."""
+    found = neighbours.similar_pairs(table(spark, sf, "chunk_vectors"), ws)
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    rows = table(spark, sf, "chunk_vectors").where((F.size("embedding") == neighbours.DIM) & good).groupBy("chunk_ord").agg(F.min("embedding").alias("embedding"))
+    asked = rows.where("chunk_ord % 20 = 0").select(F.col("chunk_ord").alias("question_id"), "embedding")
+    truth = dense.cosine_top(asked, rows, neighbours.K, exclude_self=True).where(F.col("score") >= neighbours.THRESHOLD)
+    a, b = F.least("question_id", "chunk_ord").alias("chunk_ord_a"), F.greatest("question_id", "chunk_ord").alias("chunk_ord_b")
+    truth = truth.select(a, b).distinct().join(found.withColumn("hit", F.lit(1)), ["chunk_ord_a", "chunk_ord_b"], "left")
+    return truth.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf, "answers"))
 
@@ -154,6 +168,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_residuals": p1_residuals,
     "p2_found": p2_found,
+    "p2_recall": p2_recall,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
