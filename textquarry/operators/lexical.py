@@ -25,8 +25,12 @@ def term_counts(chunks: DataFrame, path_tokens: bool = True) -> DataFrame:
     tokens = tokenize(F.col("text"))
     if path_tokens:
         tokens = F.concat(tokens, tokenize(F.col("file_path")))
-    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_ord").isNotNull()).select("chunk_ord", tokens.alias("tokens"))
-    rows = rows.select("chunk_ord", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_ord").isNotNull())
+    rows = rows.select("chunk_ord", F.explode(F.array(tokens)).alias("tokens"))  # one row each; a fence: tokens are made once
+    # the length before the explosion, else the array rides along with each of its tokens; outer, else a filter
+    # on the array's size is inferred and tokenizes once more
+    rows = rows.select("chunk_ord", "tokens", F.size("tokens").cast("long").alias("dl"))
+    rows = rows.select("chunk_ord", "dl", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     return rows.groupBy("chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("chunk_ord", "term", "tf", "dl")
 
 
