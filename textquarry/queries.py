@@ -233,11 +233,9 @@ def manifest_diff(spark, sf):
     return incremental.diff_manifests(*_snapshots(spark, sf))
 
 
-@scoped
-def incremental_df(spark, sf, ws):
-    """Document frequencies after an incremental build on what the last run changed."""
+def _incremental_df(spark, sf, ws, documents):
     old, new = _snapshots(spark, sf)
-    files = table(spark, sf, "documents").where("kind = 'markdown'").select("file_path", "kind", "text")
+    files = documents.select("file_path", "kind", "text")
     before = files.join(old, "file_path", "left_semi")
     diff = ws.cut(incremental.diff_manifests(old, new), "diff")
     chunks0 = ws.cut(chunking.numbered(ws.cut(chunking.chunk_files(before), "c0"), ws), "chunks0")
@@ -246,21 +244,43 @@ def incremental_df(spark, sf, ws):
     return lexical.document_frequencies(incremental.update_postings(chunks0, postings0, chunks1, diff))
 
 
-@scoped
-def full_df(spark, sf, ws):
-    """The same by a full build; its rows must equal those of ``incremental_df``."""
+def _full_df(spark, sf, ws, documents):
     _, new = _snapshots(spark, sf)
-    files = table(spark, sf, "documents").where("kind = 'markdown'").select("file_path", "kind", "text")
+    files = documents.select("file_path", "kind", "text")
     chunks = chunking.numbered(ws.cut(chunking.chunk_files(files.join(new, "file_path", "left_semi")), "chunks"), ws)
     return lexical.document_frequencies(lexical.term_counts(chunks))
 
 
+@scoped
+def incremental_df_all(spark, sf, ws):
+    """Document frequencies after an incremental build on what the last run changed; no SQL, which cannot cut Python."""
+    return _incremental_df(spark, sf, ws, table(spark, sf, "documents"))
+
+
+@scoped
+def full_df_all(spark, sf, ws):
+    """The same by a full build; its rows must equal those of ``incremental_df_all``."""
+    return _full_df(spark, sf, ws, table(spark, sf, "documents"))
+
+
+@scoped
+def incremental_df(spark, sf, ws):
+    """``incremental_df_all`` of the markdown files alone, which is what its SQL can check."""
+    return _incremental_df(spark, sf, ws, table(spark, sf, "documents").where("kind = 'markdown'"))
+
+
+@scoped
+def full_df(spark, sf, ws):
+    """The same by a full build; its rows must equal those of ``incremental_df``."""
+    return _full_df(spark, sf, ws, table(spark, sf, "documents").where("kind = 'markdown'"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p3_found, tokenize_chunks, hard_split_docs, line_pack_docs, paragraph_spans, markdown_chunks, python_chunks, corpus_chunks, corpus_filter,
         l2_normalise, question_guard, bm25_tf, bm25_df, bm25_doc_len, bm25_stats, bm25_search_batch, bm25_no_path_tokens, search_results,
         cosine_topk, hybrid_search, rrf_equal, iou_pairs, recall_at_k, mean_recall, prompt_blocks, prompt_text, source_slices, answer_dataset,
-        manifest_diff, incremental_df, full_df,
+        manifest_diff, incremental_df, full_df, incremental_df_all, full_df_all,
     )
 }
