@@ -87,3 +87,12 @@ def test_empty_and_deltas(spark, ws):
     # 1 changes, 2 is deleted, 3 comes new
     state.apply(spark.createDataFrame([(1, "a", 2, -1), (1, "b", 1, -1), (1, "b", 5, 1), (2, "a", 3, -1), (3, "c", 1, 1)], signed))
     assert sorted((r.term, r.tf, r.df) for r in state.read().collect()) == [("b", 5, 1), ("c", 1, 1)] and state.records() == 2
+
+
+def test_ranking_by_weight_gives_residuals_too(spark):
+    df = spark.createDataFrame([(1, "a", 4), (1, "b", 1), (2, "a", 1), (2, "b", 4), (3, "b", 2)], "chunk_ord long, term string, tf long")
+    own = {s: terms.distinctive_terms(df, Workspace(spark, s), None, s).collect() for s in ("weight", "residual")}
+    key = {s: {(r.chunk_ord, r.term): (r.tf, r.df, r.residual, r.weight) for r in rows} for s, rows in own.items()}
+    assert len(own["weight"]) == 5 and key["weight"] == key["residual"] and all(r.residual is not None for r in own["weight"])
+    first = terms.distinctive_terms(df, Workspace(spark, "first"), 1, "weight").collect()
+    assert {tuple(r) for r in first} == {tuple(r) for r in own["weight"] if r.rank == 1}

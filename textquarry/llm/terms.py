@@ -72,16 +72,18 @@ def distinctive_terms(
     cols = ws.cut(cols.where(F.col("df") >= least_df), "terms")
     # the looked-up table must keep its weight column, so it goes in twice
     cells_df = keyed_lookup(bags, cols.withColumn("w", F.col("df")), ["term"], "w", cells).drop("w")
-    if score == "residual":
-        cells_df = cells_df.join(rows, "chunk_ord")
-        e = F.col("row_sum") * F.col("col_sum") / F.lit(float(total or 1))
-        spread = e * (1 - F.col("row_sum") / F.lit(float(total or 1))) * (1 - F.col("col_sum") / F.lit(float(total or 1)))
-        residual = F.when(spread > 0, F.round((F.col("tf") - e) / F.sqrt(spread), 6))
-    else:
-        residual = F.lit(None).cast("double")
-    scored = cells_df.select("chunk_ord", "term", "tf", "df", residual.alias("residual"), weight(n or 0).alias("weight"))
     order = Window.partitionBy("chunk_ord").orderBy(F.col(score).desc_nulls_last(), "term")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
+    if score == "weight":  # it needs no record margins, so they are joined to the rows given out alone
+        cells_df = cells_df.withColumn("weight", weight(n or 0)).withColumn("rank", F.row_number().over(order))
+        cells_df = cells_df if k is None else cells_df.where(F.col("rank") <= k)
+    e = F.col("row_sum") * F.col("col_sum") / F.lit(float(total or 1))
+    spread = e * (1 - F.col("row_sum") / F.lit(float(total or 1))) * (1 - F.col("col_sum") / F.lit(float(total or 1)))
+    residual = F.when(spread > 0, F.round((F.col("tf") - e) / F.sqrt(spread), 6))
+    scored = cells_df.join(rows, "chunk_ord").withColumn("residual", residual)
+    columns = ["chunk_ord", "term", "tf", "df", "residual", "weight", "rank"]
+    if score == "weight":
+        return scored.select(*columns)
+    ranked = scored.withColumn("weight", weight(n or 0)).withColumn("rank", F.row_number().over(order)).select(*columns)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
