@@ -9,10 +9,11 @@ import pytest
 
 from textquarry.cli import main
 from textquarry.plans.engine import Engine, QueryCache, Source
-from textquarry.plans.workspace import Workspace, _released, path_exists, shared_root
+from textquarry.plans.versions import AlreadyPublished, Versions
+from textquarry.plans.workspace import Workspace, list_names, path_exists, scoped, shared_root
 from textquarry.server import make_server, respond
-from textquarry.sources import jsonio
-from textquarry.sources.corpus import read_corpus, suffix_of, walk
+from textquarry.sources import corpus, jsonio
+from textquarry.sources.corpus import list_corpus, read_corpus, suffix_of
 
 FILES = {
     "pkg/__init__.py": "",
@@ -46,16 +47,20 @@ def engine(spark, root, tmp_path_factory):
     return e
 
 
-def test_corpus(spark, root):
-    rows = read_corpus(spark, str(root)).orderBy("file_ord").collect()
-    names = [os.path.relpath(r.file_path, root) for r in rows]
-    assert names == [".dot/x.txt", "docs/bad.md", "docs/guide.md", "pkg/__init__.py", "pkg/_hidden.md", "pkg/cache.py"]
-    by = dict(zip(names, rows))
+@pytest.mark.parametrize("spelled,subtrees", [("{}", 16), ("file://{}", 1), ("file:{}/", 3)])
+def test_corpus(spark, root, monkeypatch, spelled, subtrees):
+    monkeypatch.setattr(corpus, "SUBTREES", subtrees)
+    at = spelled.format(root)
+    rows = read_corpus(spark, at).orderBy("file_path").collect()
+    assert all(r.file_path.startswith(at.rstrip("/") + "/") for r in rows)
+    by = {r.file_path[len(at.rstrip("/")) + 1 :]: r for r in rows}
+    assert sorted(by) == [".dot/x.txt", "docs/bad.md", "docs/guide.md", "pkg/__init__.py", "pkg/_hidden.md", "pkg/cache.py"]
     assert by["docs/guide.md"].text == "# Guide\n\nThe block cache keeps blocks.\n" and by["docs/guide.md"].size == 42
     assert by["docs/bad.md"].text == "ok  bytes" and by["pkg/cache.py"].kind == "python"
-    listing = read_corpus(spark, str(root), listing=True)
+    assert abs(by["docs/bad.md"].mtime - os.stat(root / "docs/bad.md").st_mtime) < 1e-5
+    listing = list_corpus(spark, at)
     assert "text" not in listing.columns and listing.count() == 6
-    assert suffix_of(".py") == "" and suffix_of("a.b.md") == ".md" and suffix_of("a.") == "" and walk(str(root / "none")) == []
+    assert suffix_of(".py") == "" and suffix_of("a.b.md") == ".md" and suffix_of("a.") == "" and list_corpus(spark, f"{at}/none").count() == 0
 
 
 def test_search_and_caches(engine):
@@ -81,28 +86,88 @@ def test_lru():
 
 
 def _tables(e):
-    chunks = {(r.chunk_ord, r.file_path, r.first_character_index, r.text) for r in e.chunks().collect()}
+    """What an index holds, by file and place in the file instead of chunk numbers."""
+    chunks = {r.chunk_ord: (r.file_path, r.chunk_in_file, r.first_character_index, r.last_character_index) for r in e.chunks().collect()}
     index = e.lexical_index()
-    return chunks, {tuple(r) for r in index.postings.select("term", "chunk_ord", "tf", "dl").collect()}, {tuple(r) for r in index.df.select("term", "df").collect()}, index.n_chunks, index.avg_chunk_length
+    postings = {(r.term, chunks[r.chunk_ord], r.tf, r.dl) for r in index.postings.collect()}
+    texts = {(r.file_path, r.text) for r in e.files().collect()}
+    vectors = {(chunks[r.chunk_ord], tuple(r.embedding)) for r in e.vectors().collect()} if e.settings()["semantic"] else None
+    manifest = {(r.file_path, r.mtime, r["size"]) for r in e.load_manifest().collect()}
+    return set(chunks.values()), postings, {tuple(r) for r in index.df.select("term", "df").collect()}, index.n_chunks, index.avg_chunk_length, texts, vectors, manifest
 
 
-def test_incremental_equals_full(spark, tmp_path):
-    tree = tmp_path / "t"
+def _write(tree, n):
     tree.mkdir()
-    for i in range(8):
+    for i in range(n):
         (tree / f"f{i}.md").write_text(f"word{i} shared\n\nsecond part {i}")
+    (tree / "p.py").write_text("def shared():\n    return 1\n")
+
+
+def test_incremental_equals_full(spark, tmp_path):
+    tree = tmp_path / "t"
+    _write(tree, 11)
     a, b = (Engine(spark, f"file://{tmp_path}/{x}") for x in "ab")
-    a.index(str(tree))
+    a.index(str(tree), build_embeddings=True)
+    numbers = {r.file_path: r.file_no for r in a.load_manifest().collect()}
     assert a.index(str(tree), incremental_run=True)["reprocessed"] == 0
     (tree / "f3.md").write_text("entirely new words")
     (tree / "f5.md").unlink()
     (tree / "a0.md").write_text("added in front")
     assert a.index(str(tree), incremental_run=True)["reprocessed"] == 2
-    b.index(str(tree))
-    assert _tables(a) == _tables(b)
-    assert a.version() == 3 and a.index(str(tree), 5, incremental_run=True)["reprocessed"] == 8  # another size: a full run
+    b.index(str(tree), build_embeddings=True)
+    assert _tables(a) == _tables(b) and len(a.settings()["segments"]) == 3
+    assert {r.file_path for r in a.load_manifest().collect() if numbers.get(r.file_path, r.file_no) != r.file_no} == set()
+    for query in ("shared", "entirely", "word5", "word6 second"):
+        assert a.search(query, 20) and a.search(query, 20) == b.search(query, 20) or query == "word5" and a.search(query) == b.search(query) == []
+    asked = spark.createDataFrame([("1", "shared part"), ("2", "entirely new")], "question_id string, question string")
+    assert a.rank(asked, 20).count() == b.rank(asked, 20).count() > 0
+    (tree / "p.py").write_text("def other():\n    return 2\n")
+    (tree / "f1.md").write_text("one more")
+    (tree / "f2.md").unlink()
+    assert a.index(str(tree), incremental_run=True)["reprocessed"] == 2  # too much is dead now: one segment again
+    b.index(str(tree), build_embeddings=True)
+    assert _tables(a) == _tables(b) and len(a.settings()["segments"]) == 1 and a.dead().count() == 0
+    assert a.vacuum() and _tables(a) == _tables(b) and a.version() == 4
+    assert a.index(str(tree), 5, incremental_run=True)["reprocessed"] == 11  # another size: a full run
     with pytest.raises(ValueError):
         a.index(str(tree), 0)
+    with pytest.raises(FileNotFoundError):
+        a.vectors()
+
+
+def test_one_changed_file_reads_one_body(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "t"
+    _write(tree, 40)
+    e = Engine(spark, f"file://{tmp_path}/i")
+    assert e.index(str(tree))["reprocessed"] == 41
+    (tree / "f7.md").write_text("zebra words")
+    for p in tree.iterdir():  # no other body can be read any more
+        if p.name != "f7.md":
+            at = p.stat()
+            p.chmod(0)
+            os.utime(p, ns=(at.st_atime_ns, at.st_mtime_ns))
+    read = []
+    real = corpus.with_texts
+    monkeypatch.setattr("textquarry.plans.engine.with_texts", lambda df, *a: read.append(df.count()) or real(df, *a))
+    assert e.index(str(tree), incremental_run=True)["reprocessed"] == 1 and read == [1]
+    assert [Path(s.file_path).name for s in e.search("zebra")] == ["f7.md"] and not e.search("word7") and len(e.search("shared", 99)) == 40
+
+
+def test_a_search_reads_only_the_parts_of_its_terms(spark, tmp_path, monkeypatch):
+    from textquarry.operators import lexical
+
+    monkeypatch.setattr(lexical, "PART_ROWS", 10)
+    tree = tmp_path / "t"
+    _write(tree, 12)
+    e = Engine(spark, f"file://{tmp_path}/i")
+    e.index(str(tree))
+    plan = lexical.top_of(["word3"], e.lexical_index(), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#").replace("[(part", "[part") and "PartitionFilters: []" not in plan
+    asked = spark.createDataFrame([("1", "word3 shared")], "question_id string, question string")
+    assert e.settings()["segments"][0]["parts"] > 3
+    ranked = e.rank(asked, 5)
+    assert "PartitionFilters: []" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert [r.chunk_ord for r in ranked.orderBy("rank").collect()] == [r.chunk_ord for r in lexical.top_of(["word3", "shared"], e.lexical_index(), 5).collect()]
 
 
 def test_failed_run_changes_nothing(spark, tmp_path, monkeypatch):
@@ -111,15 +176,38 @@ def test_failed_run_changes_nothing(spark, tmp_path, monkeypatch):
     (tree / "a.md").write_text("one two")
     e = Engine(spark, f"file://{tmp_path}/i")
     e.index(str(tree))
+    before = sorted(os.listdir(tmp_path / "i"))
     (tree / "a.md").write_text("three")
-    monkeypatch.setattr("textquarry.operators.lexical.save", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    monkeypatch.setattr("textquarry.operators.lexical.save_parts", lambda *a: (_ for _ in ()).throw(OSError("disk")))
     with pytest.raises(OSError):
         e.index(str(tree), incremental_run=True)
     monkeypatch.undo()
-    assert e.version() == 1 and e.search("two") and sorted(os.listdir(tmp_path / "i")) == ["v1"]
+    assert e.version() == 1 and e.search("two") and sorted(os.listdir(tmp_path / "i")) == before
     assert e.index(str(tree), incremental_run=True)["reprocessed"] == 1 and e.search("three") and not e.search("two")
 
 
+def test_of_two_runs_one_publishes(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "t"
+    _write(tree, 2)
+    e = Engine(spark, f"file://{tmp_path}/i")
+    e.index(str(tree))
+    real = corpus.with_texts
+
+    def late(df, *a):  # another run starts from the same version and publishes first
+        monkeypatch.setattr("textquarry.plans.engine.with_texts", real)
+        Engine(spark, e.path).index(str(tree))
+        return real(df, *a)
+
+    monkeypatch.setattr("textquarry.plans.engine.with_texts", late)
+    with pytest.raises(AlreadyPublished):
+        e.index(str(tree))
+    assert e.version() == 2 and len([n for n in os.listdir(tmp_path / "i") if n.startswith("data-")]) == 2 and e.search("shared")
+    v = Versions(spark, e.path)
+    with pytest.raises(AlreadyPublished):
+        v.publish(v.stage(), 1)
+    assert v.folder(2) != v.folder(1) and v.publish(v.stage(), 2) == 3
+
+
 QUESTIONS = [{"question_id": "1", "question": "block cache?"}, {"question": "zzzz"}]
 
 
@@ -192,18 +280,21 @@ def test_stream(spark, tmp_path):
     assert got[("a.md", "x")] == 2 and got[("b.py", "z")] == 1
 
 
-def test_workspace_lives_as_long_as_the_result(spark):
-    w = Workspace(spark, "t")
-    assert w.path.startswith(shared_root(spark))
-    df = w.attach(w.cut(spark.range(3), "x"))
-    Workspace(spark, "other")
-    assert df.count() == 3
-    path = w.path
-    derived = df.select("id")
-    del df, w
+def test_what_is_derived_from_a_result_outlives_other_queries(spark):
+    made = []
+
+    @scoped
+    def query(spark, sf, ws):
+        made.append(ws)
+        ws.cut(spark.range(9), "aside")
+        return ws.cut(spark.range(3), "x").join(ws.cut(spark.range(2), "y"), "id")
+
+    derived = query(spark, "").limit(5)
     import gc
 
     gc.collect()
-    assert _released and derived.count() == 3
-    Workspace(spark, "other")
-    assert not path_exists(spark, path)
+    query(spark, "").count()
+    assert derived.count() == 2 and list_names(spark, made[0].path) == ["x", "y"]
+    assert made[0].path.startswith(shared_root(spark))
+    made[0].close()
+    assert not path_exists(spark, made[0].path)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,23 +45,34 @@ def cut_lines(text: str, start: int, end: int, size: int) -> list[tuple[int, int
     return out
 
 
-def pack(spans: list[tuple[int, int]], size: int, oversized) -> list[tuple[int, int]]:
-    """Neighbours joined while at most ``size`` long, gaps included; a single longer one goes to ``oversized``."""
-    out: list[tuple[int, int]] = []
-    held: tuple[int, int] | None = None
+@dataclass
+class Block:
+    """A stretch of a text and the blocks it may be cut into if it is too long."""
+
+    start: int
+    end: int
+    parts: tuple["Block", ...] = ()
+
 
-    def flush() -> None:
-        if held:
-            out.extend([held] if held[1] - held[0] <= size else oversized(*held))
+def fitted(text: str, blocks: Sequence[Block], size: int) -> Iterator[tuple[int, int]]:
+    """Spans of runs of neighbouring blocks, as many in each as ``size`` holds, gaps included.
 
-    for s, e in spans:
-        if held and e - held[0] <= size:
-            held = (held[0], e)
+    A block that is longer by itself is cut into its parts, one without parts at lines.
+    """
+    at = 0
+    while at < len(blocks):
+        one = blocks[at]
+        most = one.start + size
+        stop = at + 1
+        while stop < len(blocks) and blocks[stop].end <= most:
+            stop += 1
+        if blocks[stop - 1].end <= most:
+            yield one.start, blocks[stop - 1].end
+        elif one.parts:
+            yield from fitted(text, one.parts, size)
         else:
-            flush()
-            held = (s, e)
-    flush()
-    return out
+            yield from cut_lines(text, one.start, one.end, size)
+        at = stop
 
 
 def cut_markdown(text: str, size: int = MAX_CHUNK_SIZE) -> list[tuple[int, int]]:
@@ -67,9 +81,23 @@ def cut_markdown(text: str, size: int = MAX_CHUNK_SIZE) -> list[tuple[int, int]]
     for m in [*_BREAK.finditer(text), None]:
         end = m.start() if m else len(text)
         if text[at:end].strip():
-            paragraphs.append((at, end))
+            paragraphs.append(Block(at, end))
         at = m.end() if m else end
-    return pack(paragraphs, size, lambda s, e: cut_lines(text, s, e, size))
+    return list(fitted(text, paragraphs, size))
+
+
+def statement_blocks(text: str, compat_splitlines: bool = False) -> list[Block]:
+    """The top-level statements of Python source as whole lines, decorators included; a class has its members as parts."""
+    lines = text.splitlines(keepends=True) if compat_splitlines else text.split("\n")
+    ends = list(accumulate((len(x) for x in lines) if compat_splitlines else (len(x) + 1 for x in lines), initial=0))
+    ends = [min(x, len(text)) for x in ends]
+
+    def block(statement: ast.stmt, inside: bool) -> Block:
+        head = min(x.lineno for x in (statement, *getattr(statement, "decorator_list", ())))
+        parts = tuple(block(x, True) for x in statement.body) if isinstance(statement, ast.ClassDef) and not inside else ()
+        return Block(ends[head - 1], ends[min(statement.end_lineno, len(ends) - 1)], parts)
+
+    return [block(x, False) for x in ast.parse(text).body]
 
 
 def cut_python(text: str, size: int = MAX_CHUNK_SIZE, compat_splitlines: bool = False) -> list[tuple[int, int]]:
@@ -84,26 +112,9 @@ def cut_python(text: str, size: int = MAX_CHUNK_SIZE, compat_splitlines: bool =
     if not text.strip():
         return []
     try:
-        body = ast.parse(text).body
+        return list(fitted(text, statement_blocks(text, compat_splitlines), size))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return cut_lines(text, 0, len(text), size)
-    starts = [0]
-    for line in text.splitlines(keepends=True) if compat_splitlines else re.findall(r"[^\n]*\n|[^\n]+\Z", text):
-        starts.append(starts[-1] + len(line))
-
-    def span(node: ast.stmt) -> tuple[int, int]:
-        first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-        return starts[first - 1], starts[min(node.end_lineno or len(starts) - 1, len(starts) - 1)]
-
-    nodes = {span(n): n for n in body}  # of statements on the same lines the last one counts
-
-    def oversized(s: int, e: int) -> list[tuple[int, int]]:
-        node = nodes.get((s, e))
-        if isinstance(node, ast.ClassDef):
-            return pack([span(m) for m in node.body], size, lambda a, b: cut_lines(text, a, b, size))
-        return cut_lines(text, s, e, size)
-
-    return pack([span(n) for n in body], size, oversized)
 
 
 def _cut_in_python(files: DataFrame, cut, size: int) -> DataFrame:
@@ -117,8 +128,8 @@ def _cut_in_python(files: DataFrame, cut, size: int) -> DataFrame:
     return files.mapInArrow(run, f"{schema}, spans array<struct<s:int,e:int>>")
 
 
-def chunk_files(files: DataFrame, size: int = MAX_CHUNK_SIZE) -> DataFrame:
-    """``(file_path, chunk_in_file, first_character_index, last_character_index, text)``.
+def chunk_files(files: DataFrame, size: int = MAX_CHUNK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(file_path, chunk_in_file, first_character_index, last_character_index, text)`` and the columns ``keep`` of the file.
 
     ``files``: ``(file_path, kind, text)``, each path once; other columns are
     ignored. Kinds other than python and markdown, null kinds, paths and texts,
@@ -126,15 +137,15 @@ def chunk_files(files: DataFrame, size: int = MAX_CHUNK_SIZE) -> DataFrame:
     (and texts above ``LONG_TEXT``) in Arrow batches; nothing is shuffled.
     """
     check_size(size)
-    files = files.select("file_path", "kind", "text").where(F.col("text").isNotNull() & F.col("file_path").isNotNull())
+    files = files.select("file_path", "kind", "text", *keep).where(F.col("text").isNotNull() & F.col("file_path").isNotNull())
     long = F.length("text") > LONG_TEXT
     native = files.where((F.col("kind") == "markdown") & ~long).withColumn("spans", markdown_spans(F.col("text"), size))
     parts = native.unionByName(_cut_in_python(files.where((F.col("kind") == "markdown") & long), cut_markdown, size))
     parts = parts.unionByName(_cut_in_python(files.where(F.col("kind") == "python"), cut_python, size))
-    flat = parts.select("file_path", "text", F.posexplode("spans").alias("chunk_in_file", "x"))
+    flat = parts.select("file_path", "text", *keep, F.posexplode("spans").alias("chunk_in_file", "x"))
     return flat.select(
         "file_path", "chunk_in_file", F.col("x.s").cast("long").alias("first_character_index"),
-        F.col("x.e").cast("long").alias("last_character_index"), F.substring(F.col("text"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("text"),
+        F.col("x.e").cast("long").alias("last_character_index"), F.substring(F.col("text"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("text"), *keep,
     )
 
 
@@ -143,20 +154,26 @@ def path_order(path: str = "file_path"):
     return F.split(F.col(path), "/")
 
 
-def numbered(chunks: DataFrame, ws: Workspace) -> DataFrame:
-    """Adds ``chunk_ord``: 0, 1, ... over files in order of their paths and chunks in order within a file.
+def number_files(counts: DataFrame, ws: Workspace, weight: str | None = None) -> DataFrame:
+    """``counts (file_path, ...)`` with ``start``: how many files, or how much ``weight``, come before each in order of the paths.
 
     Files are ranged by path and written with their range, which fixes it;
     ranges are then numbered side by side, from the sum over those before
     them. Only one row for each range meets in one task.
     """
-    per_file = chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    per_file = per_file.repartitionByRange(path_order()).withColumn("part", F.spark_partition_id())
-    per_file = ws.cut(per_file, "files-by-path")
+    n = F.lit(1) if weight is None else F.col(weight)
+    ranged = counts.repartitionByRange(path_order()).withColumn("part", F.spark_partition_id())
+    ranged = ws.cut(ranged, "files-by-path")
     until = Window.unboundedPreceding, -1
-    parts = per_file.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = ranged.groupBy("part").agg(F.sum(n).alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*until)), F.lit(0)).alias("base"))
-    own = F.sum("n").over(Window.partitionBy("part").orderBy(path_order()).rowsBetween(*until))
-    starts = per_file.select("file_path", "part", F.coalesce(own, F.lit(0)).alias("start")).join(parts, "part")
-    starts = starts.select("file_path", (F.col("start") + F.col("base")).alias("start"))
+    own = F.coalesce(F.sum(n).over(Window.partitionBy("part").orderBy(path_order()).rowsBetween(*until)), F.lit(0))
+    placed = ranged.withColumn("own", own).join(F.broadcast(parts), "part")  # a row for each range
+    return placed.select(*counts.columns, (F.col("own") + F.col("base")).alias("start"))
+
+
+def numbered(chunks: DataFrame, ws: Workspace) -> DataFrame:
+    """Adds ``chunk_ord``: 0, 1, ... over files in order of their paths and chunks in order within a file."""
+    per_file = chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    starts = number_files(per_file, ws, "n").select("file_path", "start")
     return chunks.join(starts, "file_path").withColumn("chunk_ord", F.col("start") + F.col("chunk_in_file")).drop("start")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunking, lexical
-from ..plans.workspace import Workspace
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -33,27 +32,16 @@ def diff_manifests(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.select("file_path", status.alias("status"))
 
 
-def update_chunks(kept_from: DataFrame | None, files: DataFrame, diff: DataFrame, size: int, ws: Workspace) -> DataFrame:
-    """Chunks of the new snapshot: those of unchanged files as they were, those of changed files cut anew.
+def stable_chunks(files: DataFrame, size: int) -> DataFrame:
+    """Chunks of ``files (file_path, file_no, kind, text)`` with ``chunk_ord``, made of the file's number and the place in the file.
 
-    ``chunk_ord`` is given anew over all files by path, so an incremental build
-    and a full one give the same table.
+    So a chunk's number stays what it is when other files come, change or go.
     """
-    changed = files.join(diff.where("status = 'changed'").select("file_path"), "file_path", "left_semi")
-    fresh = chunking.chunk_files(changed, size)
-    if kept_from is not None:
-        cols = ["file_path", "chunk_in_file", "first_character_index", "last_character_index", "text"]
-        kept = kept_from.join(diff.where("status = 'unchanged'").select("file_path"), "file_path", "left_semi")
-        fresh = kept.select(*cols).unionByName(fresh.select(*cols))
-    return chunking.numbered(ws.cut(fresh, "fresh-chunks"), ws)
-
-
-def update_postings(old_chunks: DataFrame, old_postings: DataFrame, chunks: DataFrame, diff: DataFrame) -> DataFrame:
-    """``(chunk_ord, term, tf, dl)``: postings of unchanged files are renumbered, changed files alone are tokenized."""
-    same = diff.where("status = 'unchanged'").select("file_path")
-    key = ["file_path", "chunk_in_file"]
-    moved = old_chunks.join(same, "file_path", "left_semi").select(*key, F.col("chunk_ord").alias("old_ord"))
-    moved = moved.join(chunks.select(*key, "chunk_ord"), key).select("old_ord", "chunk_ord")
-    kept = old_postings.select(F.col("chunk_ord").alias("old_ord"), "term", "tf", "dl").join(moved, "old_ord").select("chunk_ord", "term", "tf", "dl")
-    new = chunks.join(diff.where("status = 'changed'").select("file_path"), "file_path", "left_semi")
-    return kept.unionByName(lexical.term_counts(new))
+    number = F.shiftleft(F.col("file_no").cast("long"), lexical.FILE_SHIFT) + F.col("chunk_in_file")
+    return chunking.chunk_files(files, size, ("file_no",)).withColumn("chunk_ord", number)
+
+
+def signed_frequencies(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """``(term, df)``: changes of document frequencies, from those of chunks that come and of chunks that go."""
+    parts = [p.select("term", (sign * F.col("df")).alias("df")) for p, sign in ((added, 1), (removed, -1))]
+    return parts[0].unionByName(parts[1]).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,22 +12,31 @@ from ..functions.tokens import has_text, tokenize
 from ..plans.workspace import Workspace
 
 K1, B = 1.2, 0.5
-#: Question terms up to this number are broadcast to the postings; more are joined by a shuffle.
+#: Question terms that are broadcast to the postings at a time; more are taken in further passes.
 BROADCAST_TERMS = 200_000
+#: For up to so many different terms, the parts of a stored index that hold none of them aren't read.
+FEW_TERMS = 200
+#: Postings of one part of a stored index, and of one file in it; the greatest number of parts.
+PART_ROWS, FILE_ROWS, MOST_PARTS = 250_000, 4_000_000, 4096
+
+
+def _token_rows(chunks: DataFrame, path_tokens: bool, *keys: str) -> DataFrame:
+    """``(keys, tokens)``: tokens of a chunk's text and, folded in, of its file's path; none of a null text (an unreadable file)."""
+    tokens = tokenize(F.col("text"))
+    if path_tokens:
+        tokens = F.concat(tokens, tokenize(F.col("file_path")))
+    # one row each; a fence: tokens are made once
+    return chunks.where(F.col("text").isNotNull()).select(*keys, F.explode(F.array(tokens)).alias("tokens"))
 
 
 def term_counts(chunks: DataFrame, path_tokens: bool = True) -> DataFrame:
-    """``(chunk_ord, term, tf, dl)``: tokens of a chunk's text and, folded in, of its file's path; ``dl`` counts them all.
+    """``(chunk_ord, term, tf, dl)``: how often each term occurs in a chunk; ``dl`` counts all its tokens.
 
     ``chunks``: ``(chunk_ord, file_path, text)``, each number once. A null text
-    (an unreadable file) has no terms at all; null ``chunk_ord`` is dropped.
-    The length comes from the row itself, so one shuffle of counts is all.
+    has no terms at all; null ``chunk_ord`` is dropped. The length comes from
+    the row itself, so one shuffle of counts is all.
     """
-    tokens = tokenize(F.col("text"))
-    if path_tokens:
-        tokens = F.concat(tokens, tokenize(F.col("file_path")))
-    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_ord").isNotNull())
-    rows = rows.select("chunk_ord", F.explode(F.array(tokens)).alias("tokens"))  # one row each; a fence: tokens are made once
+    rows = _token_rows(chunks.where(F.col("chunk_ord").isNotNull()), path_tokens, "chunk_ord")
     # the length before the explosion, else the array rides along with each of its tokens; outer, else a filter
     # on the array's size is inferred and tokenizes once more
     rows = rows.select("chunk_ord", "tokens", F.size("tokens").cast("long").alias("dl"))
@@ -34,6 +44,12 @@ def term_counts(chunks: DataFrame, path_tokens: bool = True) -> DataFrame:
     return rows.groupBy("chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("chunk_ord", "term", "tf", "dl")
 
 
+def chunk_frequencies(chunks: DataFrame, path_tokens: bool = True) -> DataFrame:
+    """``(term, df)`` straight from chunks, without postings: counts are added up before anything is shuffled."""
+    rows = _token_rows(chunks, path_tokens).select(F.explode_outer(F.array_distinct("tokens")).alias("term"))
+    return document_frequencies(rows.where(F.col("term").isNotNull()))
+
+
 def doc_lengths(postings: DataFrame) -> DataFrame:
     """``(chunk_ord, dl)``"""
     return postings.groupBy("chunk_ord").agg(F.max("dl").alias("dl"))
@@ -44,9 +60,41 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def part_of(parts: int, term: Column | str = "term") -> Column:
+    """The part of a stored index that a term lies in."""
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+@dataclass
+class Segment:
+    """Stored postings and document frequencies, by parts; ``dead (file_no)``: files whose postings no longer count."""
+
+    postings: DataFrame
+    df: DataFrame
+    parts: int
+    dead: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        if self.dead is None:
+            return rows
+        return rows.join(self.dead, F.shiftright("chunk_ord", FILE_SHIFT) == F.col("file_no"), "left_anti")
+
+    def holding(self, terms: list[str], numbers: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Postings and frequencies of some terms: other parts aren't read, nor row groups that hold none of them."""
+        wanted = F.col("part").isin(numbers) & F.col("term").isin(terms)
+        return self.live(self.postings.where(wanted)), self.df.where(wanted)
+
+
+#: Chunk numbers of a stored index are ``file_no << FILE_SHIFT | chunk_in_file``.
+FILE_SHIFT = 20
+
+
 @dataclass
 class LexicalIndex:
-    """``postings (term, chunk_ord, tf, dl)``, ``df (term, df)`` and the numbers that scoring needs."""
+    """``postings (term, chunk_ord, tf, dl)``, ``df (term, df)`` and the numbers that scoring needs.
+
+    An index that was loaded has ``segments``, which know where a term lies.
+    """
 
     postings: DataFrame
     df: DataFrame
@@ -54,11 +102,37 @@ class LexicalIndex:
     avg_chunk_length: float
     k1: float = K1
     b: float = B
+    segments: list[Segment] = field(default_factory=list)
 
     def summary(self) -> tuple[int, int]:
         """Number of chunks and of different terms."""
         return self.n_chunks, self.df.count()
 
+    def narrowed(self, terms: list[str]) -> "LexicalIndex":
+        """The same index as far as ``terms`` need it."""
+        if not self.segments or not terms:
+            return self
+        spark = self.postings.sparkSession
+        numbers = (F.transform("terms", partial(part_of, s.parts)) for s in self.segments)
+        found = spark.sql("SELECT :t AS terms", {"t": list(terms)}).select(*numbers).first()
+        held = [s.holding(terms, sorted(set(n))) for s, n in zip(self.segments, found)]
+        return replace(self, postings=_all(p for p, _ in held), df=summed(_all(d for _, d in held)))
+
+
+def _all(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def summed(df: DataFrame) -> DataFrame:
+    """Document frequencies from signed parts of them."""
+    return df.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+def from_segments(segments: list[Segment], n_chunks: int, average: float, k1: float = K1, b: float = B) -> LexicalIndex:
+    postings = _all(s.live(s.postings) for s in segments).select("term", "chunk_ord", "tf", "dl")
+    df = _all(s.df for s in segments).select("term", "df")
+    return LexicalIndex(postings, summed(df) if len(segments) > 1 else df, n_chunks, average, k1, b, segments)
+
 
 def collection_stats(chunks: DataFrame, dl: DataFrame) -> tuple[int, float]:
     """Number of chunks (unreadable ones too) and their average length, 0.0 without chunks."""
@@ -103,14 +177,23 @@ def scores(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     """``(question_id, chunk_ord, score)`` above 0, rounded to 6 places.
 
     All questions are one join of their terms with the postings. The question
-    side is broadcast if it is counted to be small, so postings stay where they
-    are and are summed before the shuffle by question and chunk.
+    side is broadcast, so postings stay where they are, however unevenly terms
+    are spread, and are summed before the shuffle by question and chunk. More
+    question terms than ``BROADCAST_TERMS`` are taken in blocks of whole
+    questions, each one more pass over the postings. For few terms, only the
+    parts of a stored index that hold them are read.
     """
-    terms = question_terms(questions).join(index.df, "term")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    parts = index.postings.join(terms, "term").select("question_id", "chunk_ord", term_score(index).alias("part"))
-    total = parts.groupBy("question_id", "chunk_ord").agg(F.round(F.sum("part"), 6).alias("score"))
+    terms = question_terms(questions)
+    few = terms.select("term").distinct().limit(FEW_TERMS + 1).collect() if index.segments else []
+    if few and len(few) <= FEW_TERMS:
+        index = index.narrowed(sorted(r[0] for r in few))
+    terms = terms.join(index.df, "term")
+    blocks = -(-terms.count() // BROADCAST_TERMS) or 1
+    parts = []
+    for i in range(blocks):
+        own = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        parts.append(index.postings.join(F.broadcast(own), "term").select("question_id", "chunk_ord", term_score(index).alias("part")))
+    total = _all(parts).groupBy("question_id", "chunk_ord").agg(F.round(F.sum("part"), 6).alias("score"))
     return total.where(F.col("score") > 0)
 
 
@@ -120,6 +203,15 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def top_of(terms: list[str], index: LexicalIndex, k: int) -> DataFrame:
+    """``(chunk_ord, score, rank)`` of the ``k`` best chunks for one question's terms: one job over the parts that hold them."""
+    own = index.narrowed(terms)
+    rows = own.postings.where(F.col("term").isin(terms)).join(F.broadcast(own.df.where(F.col("term").isin(terms))), "term")
+    total = rows.groupBy("chunk_ord").agg(F.round(F.sum(term_score(index)), 6).alias("score")).where(F.col("score") > 0)
+    best = total.orderBy(F.col("score").desc(), "chunk_ord").limit(max(0, k))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_ord")))  # k rows
+
+
 def search(questions: DataFrame, index: LexicalIndex, k: int = 10) -> DataFrame:
     """``(question_id, chunk_ord, score, rank)``: the ``k`` best chunks of each question."""
     return top(scores(questions, index), k)
@@ -137,19 +229,40 @@ def grouped(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, order: s
     return questions.join(lists, "question_id", "left").select("question_id", "question", found, *extra)
 
 
-def save(index: LexicalIndex, path: str, buckets: int = 32) -> None:
+def save_parts(postings: DataFrame, df: DataFrame, path: str) -> int:
+    """Writes postings and (signed) frequencies by parts, terms in order within a file; returns the number of parts.
+
+    There are as many parts as ``PART_ROWS`` asks for. A part of more rows than
+    ``FILE_ROWS``, as a hot term makes it, is written as several files.
+    """
+    rows = postings.count()
+    parts = int(min(MOST_PARTS, max(1, -(-rows // PART_ROWS))))
+    files = max(1, rows // (parts * FILE_ROWS))
+    marked = postings.select("term", "chunk_ord", "tf", "dl", part_of(parts).alias("part"))
+    sizes = marked.groupBy("part").count().where(F.col("count") > FILE_ROWS).select("part", F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("files"))
+    spread = F.pmod(F.xxhash64("chunk_ord"), F.coalesce("files", F.lit(1)))
+    marked = marked.join(F.broadcast(sizes), "part", "left").withColumn("file", spread).drop("files")  # a row for each large part
+    marked.repartition(parts * max(1, files), "part", "file").sortWithinPartitions("part", "term").drop("file").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    marked = df.select("term", "df", part_of(parts).alias("part"))
+    marked.repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/df")
+    return parts
+
+
+def load_segment(spark: SparkSession, path: str, parts: int, dead: DataFrame | None = None) -> Segment:
+    # the schemas are given, since without terms there is no file
+    postings = spark.read.schema("term string, chunk_ord long, tf long, dl long, part int").parquet(f"{path}/postings")
+    return Segment(postings, spark.read.schema("term string, df long, part int").parquet(f"{path}/df"), parts, dead)
+
+
+def save(index: LexicalIndex, path: str) -> None:
     """Postings by a hash of the term, so that a question reads only the parts of its terms."""
     spark: SparkSession = index.postings.sparkSession
-    part = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")
-    for name, df in (("postings", index.postings), ("df", index.df)):
-        df.select("*", part).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-    stats = [(index.k1, index.b, index.n_chunks, index.avg_chunk_length, buckets)]
-    schema = "k1 double, b double, n_chunks long, avg_chunk_length double, buckets int"
+    parts = save_parts(index.postings, index.df, path)
+    stats = [(float(index.k1), float(index.b), index.n_chunks, float(index.avg_chunk_length), parts)]
+    schema = "k1 double, b double, n_chunks long, avg_chunk_length double, parts int"
     spark.createDataFrame(stats, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> LexicalIndex:
-    k1, b, n, average, _ = spark.read.parquet(f"{path}/stats").first()
-    return LexicalIndex(
-        spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/df").drop("bucket"), n, average, k1, b
-    )
+    k1, b, n, average, parts = spark.read.parquet(f"{path}/stats").first()
+    return from_segments([load_segment(spark, path, parts)], n, average, k1, b)

@@ -6,17 +6,16 @@ combines the digests of its records without regard to order, an inner node's
 those of its 16 children. Two snapshots are compared from the root: only
 children of differing nodes are looked at, and only records of differing leaves
 are compared one by one. ``SnapshotStore`` keeps the last published snapshot
-and publishes output, tree and records in one rename.
+and publishes output, tree and records in one step.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.workspace import Workspace, delete_path, list_names, path_exists, rename_path
+from ..plans.versions import Versions
+from ..plans.workspace import Workspace, delete_path
 
 FANOUT_BITS = 4
 VERSION = "_version"
@@ -111,26 +110,28 @@ class SnapshotStore:
     """Last published snapshot of a table in a folder of its own.
 
     ``process`` hands the records that are new or changed since the last
-    published version to ``work`` and publishes the output, the tree and the
-    records together: they are written to a staging folder which one rename
-    turns into the next version. A run that fails anywhere before the rename
-    leaves the last version current, so the next run sees the same changes
-    again, and none twice after success. If two runs race, the rename of the
-    second fails and its output is dropped.
+    published version to ``work`` and publishes the output, the tree, its depth
+    and the records together (see ``plans.versions``). A run that fails anywhere
+    before that leaves the last version current, so the next run sees the same
+    changes again, and none twice after success. If two runs race, the second
+    to publish gets ``AlreadyPublished`` and its output is dropped.
+
+    The depth of the tree is the last version's as long as its leaves stay
+    small, unless ``depth`` is given. If it changes, the old tree is built again
+    at the new depth from the old records, so the same records come out.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], state: list[str], depth: int = 4):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], state: list[str], depth: int | None = None):
         self.spark, self.path, self.keys, self.state, self.depth = spark, path.rstrip("/"), keys, state, depth
+        self._versions = Versions(spark, self.path)
 
     def versions(self) -> list[int]:
-        return sorted(int(n[1:]) for n in list_names(self.spark, self.path) if n.startswith("v") and n[1:].isdigit())
+        return self._versions.numbers()
 
     def read(self, what: str, version: int | None = None) -> DataFrame | None:
-        """``what``: output, tree or records of a version, the last by default; None before the first."""
-        found = self.versions()
-        if not found:
-            return None
-        return self.spark.read.parquet(f"{self.path}/v{found[-1] if version is None else version}/{what}")
+        """``what``: output, tree, settings or records of a version, the last by default; None before the first."""
+        version = self._versions.current() if version is None else version
+        return self.spark.read.parquet(f"{self._versions.folder(version)}/{what}") if version else None
 
     def process(self, current: DataFrame, work=None) -> DataFrame:
         """Publishes the next version and returns its output.
@@ -142,26 +143,33 @@ class SnapshotStore:
         """
         best = current.where(F.expr(" and ".join(f"`{k}` is not null" for k in self.keys)))
         best = best.groupBy(*self.keys).agg(F.max(F.struct(*self.state)).alias("_s")).select(*self.keys, "_s.*")
-        last = self.versions()[-1] if self.versions() else 0
-        stage = f"{self.path}/_staging-{uuid.uuid4().hex[:12]}"
-        new = best.withColumn("_leaf", leaf_of(self.keys, self.depth)).withColumn(VERSION, F.lit(1))
-        new.write.parquet(f"{stage}/records")
-        records = self.spark.read.parquet(f"{stage}/records")
-        build_tree(records, self.keys, self.state, self.depth).write.parquet(f"{stage}/tree")
-        tree = self.spark.read.parquet(f"{stage}/tree")
-        if last:
-            zero = F.lit(0)
-            records = records.unionByName(self.read("records", last).withColumn(VERSION, zero))
-            tree = tree.unionByName(self.read("tree", last).withColumn(VERSION, zero))
+        last = self._versions.current()
+        stage = self._versions.stage()
         ws = Workspace(self.spark, "descent")
-        found = changed_records(records, self.keys, self.state, self.depth, tree, ws)
-        found = found.where(F.col(VERSION) == 1).drop(VERSION)
-        (work(found) if work else found).write.parquet(f"{stage}/output")
-        ws.close()
-        target = f"{self.path}/v{last + 1}"
-        if path_exists(self.spark, target) or not rename_path(self.spark, stage, target):
+        try:
+            best.write.parquet(f"{stage}/records")
+            records = self.spark.read.parquet(f"{stage}/records")
+            n, was = records.count(), self.read("settings", last).first()[0] if last else 0
+            depth = self.depth or max(was, depth_for(n))
+            marked = lambda df, v: df.withColumn("_leaf", leaf_of(self.keys, depth)).withColumn(VERSION, F.lit(v))
+            records = marked(records, 1)
+            build_tree(records, self.keys, self.state, depth).write.parquet(f"{stage}/tree")
+            tree = self.spark.read.parquet(f"{stage}/tree")
+            self.spark.createDataFrame([(depth,)], "depth int").coalesce(1).write.parquet(f"{stage}/settings")
+            if last:
+                before = marked(self.read("records", last), 0)
+                records = records.unionByName(before)
+                old = self.read("tree", last).withColumn(VERSION, F.lit(0)) if was == depth else build_tree(before, self.keys, self.state, depth)
+                tree = tree.unionByName(old)
+            found = changed_records(records, self.keys, self.state, depth, tree, ws)
+            found = found.where(F.col(VERSION) == 1).drop(VERSION)
+            (work(found) if work else found).write.parquet(f"{stage}/output")
+            self._versions.publish(stage, last)
+        except BaseException:
             delete_path(self.spark, stage)
-            raise RuntimeError(f"version {last + 1} was published by another run")
+            raise
+        finally:
+            ws.close()
         return self.read("output", last + 1)
 
 
@@ -173,8 +181,6 @@ def file_states(scans: DataFrame, runs: DataFrame) -> DataFrame:
     ``seen_at`` with ``mtime`` and ``size`` not null; looks at the same moment
     go by ``loaded_at``, then ``scan_id``. Null paths are no files.
     """
-    from pyspark.sql import Window
-
     ok = runs.where(F.col("status") == "succeeded").groupBy("run_id").agg(F.min("started_at").alias("started_at"))
     ok = ok.where(F.col("run_id").isNotNull())
     order = Window.orderBy(F.col("started_at").asc_nulls_first(), "run_id")  # the run list, not the scans
@@ -191,20 +197,37 @@ def file_states(scans: DataFrame, runs: DataFrame) -> DataFrame:
 def changed_files(scans: DataFrame, runs: DataFrame, ws: Workspace) -> DataFrame:
     """``(run_id, file_path)``: for each succeeded run, files new or changed against the last that succeeded.
 
-    All runs are compared in one pass: their trees are built side by side. The
-    output and the trees are published together in the shared folder.
+    All runs are compared in one pass: their trees are built side by side. For
+    one run after the other, each published before the next, see ``SnapshotStore``.
     """
-    spark = scans.sparkSession
     states = ws.cut(file_states(scans, runs), "states")
     per_version = states.groupBy(VERSION).count().agg(F.max("count")).first()[0] or 0
     depth = depth_for(per_version)
     records = states.withColumn("_leaf", leaf_of(["file_path"], depth))
     state = ["mtime", "size"]
-    stage, live = ws.at("_staging"), ws.at("v1")
-    build_tree(records, ["file_path"], state, depth).write.parquet(f"{stage}/tree")
-    tree = spark.read.parquet(f"{stage}/tree")
+    tree = ws.cut(build_tree(records, ["file_path"], state, depth), "tree")
     found = changed_records(records, ["file_path"], state, depth, tree, ws, carry=("run_id",))
-    found.select("run_id", "file_path").write.parquet(f"{stage}/output")
-    if not rename_path(spark, stage, live):
-        raise RuntimeError("output and tree could not be published")
-    return spark.read.parquet(f"{live}/output")
+    return ws.cut(found.select("run_id", "file_path"), "output")
+
+
+def processed_files(scans: DataFrame, runs: DataFrame, ws: Workspace) -> DataFrame:
+    """``(file_path, mtime, size)`` that a store hands out after the last succeeded run, having published the one before it.
+
+    A first attempt at the last run fails in the middle of its work; the store must then give out the same changes again.
+    """
+    states = ws.cut(file_states(scans, runs), "states")
+    last = states.agg(F.max(VERSION)).first()[0] or 0
+    store = SnapshotStore(scans.sparkSession, ws.at("store"), ["file_path"], ["mtime", "size"])
+    own = lambda v: states.where(F.col(VERSION) == v).select("file_path", "mtime", "size")
+    if last > 1:
+        store.process(own(last - 1))
+
+    def fails(changed: DataFrame) -> DataFrame:
+        changed.count()
+        raise ConnectionError
+
+    try:
+        store.process(own(last), fails)
+    except ConnectionError:
+        pass
+    return store.process(own(last))

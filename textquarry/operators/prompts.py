@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 3000
+#: Different sources (about 100 bytes each) that are sent to the files; for more, cited files are shuffled.
+BROADCAST_SOURCES = 200_000
 INSTRUCTION = (
     "Answer the question from the context below and from nothing else. If the context does not hold the answer, "
     "say that it does not. Be brief and keep to what was asked."
@@ -20,15 +22,27 @@ def text_slice(text: Column, first: Column, last: Column) -> Column:
 def source_texts(results: DataFrame, files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """``(question_id, rank, file_path, slice)`` of every retrieved source; unreadable files give an empty slice.
 
-    ``files``: ``(file_path, text)``, each path once. Texts are joined to the
-    sources only here, after ranking.
+    ``files``: ``(file_path, text)``, each path once. The different sources are
+    counted: up to ``BROADCAST_SOURCES`` they are sent to the files, which are
+    cut where they are, so that only slices are shuffled. More of them are
+    joined by path, each once however often it is cited, with the cited files
+    alone.
     """
     extra = extra or []
     src = results.select("question_id", *extra, F.posexplode("retrieved_sources").alias("rank", "src"))
     src = src.select("question_id", *extra, (F.col("rank") + 1).alias("rank"), "src.*")
-    rows = src.join(files.select("file_path", "text"), "file_path", "left")
+    place = ["file_path", "first_character_index", "last_character_index"]
+    cited = src.select(*place).where(F.col("file_path").isNotNull()).distinct()
+    n = cited.count()
+    if n <= BROADCAST_SOURCES:
+        cited = F.broadcast(cited)
+    else:
+        files = files.join(cited.select("file_path").distinct(), "file_path", "left_semi")
     cut = text_slice(F.col("text"), F.col("first_character_index"), F.col("last_character_index"))
-    return rows.select("question_id", *extra, "rank", "file_path", F.coalesce(cut, F.lit("")).alias("slice"))
+    slices = files.select("file_path", "text").join(cited, "file_path").select(*place, cut.alias("slice"))
+    same = [src[c].eqNullSafe(slices[c]) for c in place]
+    rows = src.join(slices, same[0] & same[1] & same[2], "left")
+    return rows.select("question_id", *extra, "rank", src["file_path"], F.coalesce("slice", F.lit("")).alias("slice"))
 
 
 def prompt_blocks(results: DataFrame, files: DataFrame, budget: int = BUDGET, key: str = "question_id") -> DataFrame:

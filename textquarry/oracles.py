@@ -15,6 +15,11 @@ SELECT n.run_id, n.file_path FROM state n LEFT JOIN state o ON o.file_path = n.f
 WHERE o.file_path IS NULL OR o.mtime <> n.mtime OR o.size <> n.size
 """
 
+P3_STORE = P3_FOUND.rstrip() + """, m AS (SELECT max(seq) AS m FROM runs)
+SELECT n.file_path, n.mtime, n.size FROM m JOIN state n ON n.seq = m LEFT JOIN state o ON o.file_path = n.file_path AND o.seq = n.seq - 1
+WHERE o.file_path IS NULL OR o.mtime <> n.mtime OR o.size <> n.size
+"""
+
 # tokens of x: each run, then its parts if it has more than one
 _PARTS = "list_filter(string_split(regexp_replace(r, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '_'), lambda p: p <> '')"
 
@@ -221,6 +226,7 @@ SELECT term, count(*) AS df FROM tk GROUP BY 1
 
 SQL = {
     "p3_found": P3_SQL,
+    "p3_store": P3_STORE,
     "tokenize_chunks": _CHUNKS + f"t AS (SELECT chunk_ord, {_tokens('text')} AS l FROM c WHERE text IS NOT NULL)\n"
     "SELECT chunk_ord, i - 1 AS pos, l[i] AS token FROM (SELECT chunk_ord, l, unnest(range(1, len(l) + 1)) AS i FROM t)",
     "hard_split_docs": HARD_SPLIT,

@@ -40,6 +40,12 @@ def p3_found(spark: SparkSession, sf: str, ws) -> DataFrame:
     return merkle.changed_files(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"), ws)
 
 
+@scoped
+def p3_store(spark: SparkSession, sf: str, ws) -> DataFrame:
+    """What the persistent store hands out for the last succeeded run, after a failed attempt at it."""
+    return merkle.processed_files(table(spark, sf, "file_scans"), table(spark, sf, "index_runs"), ws)
+
+
 # functions
 
 
@@ -253,22 +259,25 @@ def manifest_diff(spark, sf):
     return incremental.diff_manifests(*_snapshots(spark, sf))
 
 
+def _frequencies(files, paths):
+    """Document frequencies of the files of some paths, cut into chunks."""
+    return lexical.chunk_frequencies(chunking.chunk_files(files.join(paths.select("file_path"), "file_path", "left_semi")))
+
+
 def _incremental_df(spark, sf, ws, documents):
+    """The old snapshot's frequencies, and to them what the files that changed, came or went add and take away."""
     old, new = _snapshots(spark, sf)
     files = documents.select("file_path", "kind", "text")
-    before = files.join(old, "file_path", "left_semi")
     diff = ws.cut(incremental.diff_manifests(old, new), "diff")
-    chunks0 = ws.cut(chunking.numbered(ws.cut(chunking.chunk_files(before), "c0"), ws), "chunks0")
-    postings0 = ws.cut(lexical.term_counts(chunks0), "postings0")
-    chunks1 = ws.cut(incremental.update_chunks(chunks0, files, diff, chunking.MAX_CHUNK_SIZE, ws), "chunks1")
-    return lexical.document_frequencies(incremental.update_postings(chunks0, postings0, chunks1, diff))
+    df0 = ws.cut(_frequencies(files, old), "df")
+    went = old.join(diff.where("status <> 'unchanged'"), "file_path", "left_semi")
+    delta = incremental.signed_frequencies(_frequencies(files, diff.where("status = 'changed'")), _frequencies(files, went))
+    return lexical.summed(df0.unionByName(delta))
 
 
 def _full_df(spark, sf, ws, documents):
     _, new = _snapshots(spark, sf)
-    files = documents.select("file_path", "kind", "text")
-    chunks = chunking.numbered(ws.cut(chunking.chunk_files(files.join(new, "file_path", "left_semi")), "chunks"), ws)
-    return lexical.document_frequencies(lexical.term_counts(chunks))
+    return _frequencies(documents.select("file_path", "kind", "text"), new)
 
 
 @scoped
@@ -298,7 +307,7 @@ def full_df(spark, sf, ws):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, tokenize_chunks, hard_split_docs, line_pack_docs, paragraph_spans, markdown_chunks, python_chunks, corpus_chunks, corpus_filter,
+        p3_found, p3_store, tokenize_chunks, hard_split_docs, line_pack_docs, paragraph_spans, markdown_chunks, python_chunks, corpus_chunks, corpus_filter,
         l2_normalise, question_guard, bm25_tf, bm25_df, bm25_doc_len, bm25_stats, bm25_search_batch, bm25_no_path_tokens, search_results,
         cosine_topk, hybrid_search, rrf_equal, iou_pairs, recall_at_k, mean_recall, prompt_blocks, prompt_text, source_slices, answer_dataset,
         manifest_diff, incremental_df, full_df, incremental_df_all, full_df_all,

@@ -2,14 +2,18 @@
 
 Spark's own file sources skip names that begin with ``_`` or ``.``, keep
 ``\\r\\n`` and fail on, or keep, invalid bytes; here such files are listed,
-line ends become ``\\n``, and invalid bytes are dropped.
+line ends become ``\\n``, and invalid bytes are dropped. Trees may lie on any
+file system that Arrow knows (``hdfs://``, ``s3://``, ``gs://``, ``file:``, or
+a plain path that all executors can read). Subtrees are listed in tasks, and
+bodies are read in tasks, from a listing and only where they are asked for.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,10 +23,11 @@ EXCLUDED_DIRS = (".git", ".github", ".buildkite", "__pycache__", "csrc", "cmake"
 # Which chunker a suffix goes to. Fixed values.
 KINDS = {".py": "python", ".md": "markdown", ".txt": "markdown"}
 
-SCHEMA = "file_ord long, file_path string, kind string, mtime double, size long, text string"
-LISTING = "file_ord long, file_path string, kind string, mtime double, size long"
-#: Files of one input partition.
-FILES_PER_TASK = 256
+LISTING = "file_path string, kind string, mtime double, size long"
+#: The driver lists level by level until it has so many directories for each task; what lies below is walked in tasks.
+SUBTREES = 16
+#: Bytes of files that one task reads.
+READ_BYTES = 64 << 20
 
 
 def suffix_of(name: str) -> str:
@@ -31,67 +36,120 @@ def suffix_of(name: str) -> str:
     return name[dot:] if 0 < dot < len(name) - 1 else ""
 
 
-def walk(root: str) -> list[tuple[str, str]]:
-    """``(path, kind)`` of all files to index below ``root``, ordered by path components; excluded directories aren't entered."""
-    found: list[tuple[list[str], str, str]] = []
-    for where, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in EXCLUDED_DIRS]
-        for name in files:
-            kind = KINDS.get(suffix_of(name))
-            path = os.path.join(where, name)
-            if kind and name not in EXCLUDED_DIRS and os.path.isfile(path):
-                found.append((path.split(os.sep), path, kind))
-    return [(p, k) for _, p, k in sorted(found)]
+class Tree:
+    """Files below a path, which are named as the path is spelled."""
 
+    def __init__(self, root: str):
+        self.root = root.rstrip("/") or "/"
+        if "://" in root or root.startswith("file:"):
+            uri = root if "://" in root else "file://" + root[5:]
+            self.fs, self.base = pafs.FileSystem.from_uri(uri.rstrip("/"))
+        else:
+            self.fs, self.base = pafs.LocalFileSystem(), self.root
 
-def read_text(path: str) -> str:
-    with open(path, encoding="utf-8", errors="ignore") as f:  # universal newlines
-        return f.read()
+    def inner(self, path: str) -> str:
+        """A path as the file system has it."""
+        return self.base + path[len(self.root) :]
+
+    def list(self, directory: str) -> tuple[list[str], list[tuple]]:
+        """Directories to go into, and rows of the files to index, right below ``directory``."""
+        dirs, rows = [], []
+        for info in self.fs.get_file_info(pafs.FileSelector(self.inner(directory), allow_not_found=True)):
+            if info.base_name in EXCLUDED_DIRS:
+                continue
+            path = f"{directory.rstrip('/')}/{info.base_name}"
+            if info.type == pafs.FileType.Directory:
+                dirs.append(path)
+            elif info.type == pafs.FileType.File and (kind := KINDS.get(suffix_of(info.base_name))):
+                rows.append((path, kind, (info.mtime_ns or 0) / 1e9, int(info.size)))
+        return dirs, rows
+
+    def walk(self, directory: str):
+        todo = [directory]
+        while todo:
+            dirs, rows = self.list(todo.pop())
+            todo += dirs
+            yield from rows
+
+    def read(self, path: str) -> str | None:
+        """Text of a file; None if it is gone or can't be read."""
+        try:
+            with self.fs.open_input_stream(self.inner(path)) as f:
+                data = f.read()
+        except OSError:
+            return None
+        return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
 @dataclass
-class _Files(InputPartition):
-    rows: list[tuple[int, str, str]]
+class _Part(InputPartition):
+    directories: list[tuple[str, bool]]  # path, and whether all below it belongs to it
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, with_text: bool):
-        self.root, self.with_text = root, with_text
+    def __init__(self, root: str, tasks: int):
+        self.root, self.tasks = root, tasks
 
     def partitions(self):
-        rows = [(i, p, k) for i, (p, k) in enumerate(walk(self.root))]
-        return [_Files(rows[i : i + FILES_PER_TASK]) for i in range(0, len(rows), FILES_PER_TASK)] or [_Files([])]
+        tree = Tree(self.root)
+        seen, level = [], [tree.root]
+        while level and len(level) < SUBTREES * self.tasks:
+            seen += level
+            level = [d for x in level for d in tree.list(x)[0]]
+        places = [(d, False) for d in seen] + [(d, True) for d in level]
+        return [_Part(p) for i in range(self.tasks) if (p := places[i :: self.tasks])]
 
     def read(self, partition):
-        for i, path, kind in partition.rows:
-            try:
-                stat = os.stat(path)
-                row = (i, path, kind, float(stat.st_mtime), int(stat.st_size))
-                yield (*row, read_text(path)) if self.with_text else row
-            except OSError:  # gone or unreadable since the listing: no row
-                continue
+        tree = Tree(self.root)
+        for directory, below in partition.directories:
+            yield from tree.walk(directory) if below else tree.list(directory)[1]
 
 
 class CorpusSource(DataSource):
-    """``spark.read.format("corpus").load(root)``; with option ``listing`` true, texts aren't read."""
+    """``spark.read.format("corpus").load(root)``: the listing; ``with_texts`` adds the bodies."""
 
     @classmethod
     def name(cls) -> str:
         return "corpus"
 
-    def _listing(self) -> bool:
-        return str(self.options.get("listing", "false")).lower() == "true"
-
     def schema(self) -> str:
-        return LISTING if self._listing() else SCHEMA
+        return LISTING
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], not self._listing())
+        return _Reader(self.options["path"], int(self.options.get("tasks", "8")))
 
 
-def read_corpus(spark: SparkSession, root: str, listing: bool = False) -> DataFrame:
+def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """``(file_path, kind, mtime, size)`` of the files to index below ``root``; no body is read."""
     spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").option("listing", str(listing).lower()).load(root)
+    return spark.read.format("corpus").option("tasks", spark.sparkContext.defaultParallelism).load(root)
+
+
+def with_texts(listing: DataFrame, root: str, total_bytes: int | None = None) -> DataFrame:
+    """Adds ``text``; files that can't be read have no row. Only the files of ``listing`` are opened.
+
+    ``total_bytes``, where it is known, spreads the files over as many tasks as
+    their bodies need, whatever tasks the listing lies in.
+    """
+    if total_bytes is not None:
+        least = listing.sparkSession.sparkContext.defaultParallelism
+        listing = listing.repartition(max(least, -(-total_bytes // READ_BYTES)), "file_path")
+
+    def run(batches):
+        tree = Tree(root)
+        for b in batches:
+            texts = pa.array([tree.read(p) for p in b.column("file_path").to_pylist()], pa.string())
+            keep = texts.is_valid()
+            full = pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "text"])
+            yield full.filter(keep)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema)
+    return listing.mapInArrow(run, f"{schema}, text string")
+
+
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The listing with ``text``."""
+    return with_texts(list_corpus(spark, root), root)
 
 
 def chunkable(path: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,22 +79,38 @@ def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def _write(rows: DataFrame, k: int, target: str, columns: list[str]) -> str:
-    """One JSON document. Rows pass through the driver one partition at a time; the result set of a question file is small."""
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    """One JSON document, on whatever file system ``target`` lies.
+
+    Rows pass through the driver one partition at a time; the result set of a
+    question file is small. What was there before is replaced when all is written.
+    """
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    path, part = (jvm.org.apache.hadoop.fs.Path(x) for x in (target, f"{target}.{uuid.uuid4().hex[:8]}"))
+    fs = path.getFileSystem(conf)
+    fs.setWriteChecksum(False)
     ordered = rows.orderBy("q_ord") if "q_ord" in rows.columns else rows
-    with open(target + ".part", "w", encoding="utf-8") as f:
-        f.write('{"search_results": [')
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(b'{"search_results": ['))
         for n, row in enumerate(ordered.select(*columns).toLocalIterator()):
-            f.write((",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False))
-        f.write(f'\n], "k": {int(k)}}}\n')
-    os.replace(target + ".part", target)
+            text = (",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False)
+            out.write(bytearray(text.encode("utf-8", "surrogatepass")))
+        out.write(bytearray(f'\n], "k": {int(k)}}}\n'.encode()))
+    except BaseException:
+        out.close()
+        fs.delete(part, False)
+        raise
+    out.close()
+    fs.delete(path, False)
+    if not fs.rename(part, path):
+        raise OSError(f"{target} could not be written")
     return target
 
 
 def write_results(rows: DataFrame, k: int, directory: str, name: str) -> str:
     """``directory/name``: ``{search_results, k}``, in order of ``q_ord``."""
-    return _write(rows, k, os.path.join(directory, name), ["question_id", "question", "retrieved_sources"])
+    return _write(rows, k, f"{directory.rstrip('/')}/{name}", ["question_id", "question", "retrieved_sources"])
 
 
 def write_answers(rows: DataFrame, k: int, directory: str, name: str) -> str:
-    return _write(rows, k, os.path.join(directory, name), ["question_id", "question", "retrieved_sources", "answer"])
+    return _write(rows, k, f"{directory.rstrip('/')}/{name}", ["question_id", "question", "retrieved_sources", "answer"])
