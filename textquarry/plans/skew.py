@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 4096
+#: Rows of a table (of some 100 bytes each) that are broadcast whole if the caller has counted so few.
+BROADCAST_ROWS = 250_000
 
 
 def keyed_lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = HOT_KEYS
+    rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = HOT_KEYS, table_rows: int | None = None
 ) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row per key.
 
