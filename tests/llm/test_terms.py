@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from textquarry.llm import terms
+from textquarry.plans.versions import AlreadyPublished
 from textquarry.plans.workspace import Workspace
 
 KIND = "chunk_ord long, shard_no long, build_no long, term_frequencies map<string,long>, term string, tf long"
@@ -83,10 +84,61 @@ def test_empty_and_deltas(spark, ws):
     assert terms.distinctive_terms(terms.latest_bags(empty), ws).count() == 0
     assert terms.counts_by_builds(empty, Workspace(spark, "e")).read().count() == 0
     signed = "chunk_ord long, term string, tf long, sign int"
-    state = terms.TermCounts(ws).apply(spark.createDataFrame([(1, "a", 2, 1), (1, "b", 1, 1), (2, "a", 3, 1)], signed))
+    delta = lambda *rows: terms.term_delta(spark.createDataFrame(list(rows), signed))
+    path = ws.at("counts")
+    terms.TermCounts(spark, path).apply(delta((1, "a", 2, 1), (1, "b", 1, 1), (2, "a", 3, 1)), "one")
     # 1 changes, 2 is deleted, 3 comes new
-    state.apply(spark.createDataFrame([(1, "a", 2, -1), (1, "b", 1, -1), (1, "b", 5, 1), (2, "a", 3, -1), (3, "c", 1, 1)], signed))
-    assert sorted((r.term, r.tf, r.df) for r in state.read().collect()) == [("b", 5, 1), ("c", 1, 1)] and state.records() == 2
+    second = delta((1, "a", 2, -1), (1, "b", 1, -1), (1, "b", 5, 1), (2, "a", 3, -1), (3, "c", 1, 1))
+    state = terms.TermCounts(spark, path).apply(second, "two")
+    want = [("b", 5, 1), ("c", 1, 1)]
+    assert sorted(tuple(r) for r in state.read().select("term", "tf", "df").collect()) == want and state.records() == 2
+    state.apply(second, "two")  # sent again
+    again = terms.TermCounts(spark, path)
+    assert sorted(tuple(r) for r in again.read().select("term", "tf", "df").collect()) == want and again.records() == 2 and again.versions.numbers() == [1, 2]
+
+
+def test_counts_survive_a_crash_and_write_touched_buckets_only(spark, ws, monkeypatch):
+    monkeypatch.setattr(terms.TermCounts, "BUCKET_TERMS", 5)
+    kind = "term string, tf long, df long"
+    made = lambda names, records: spark.createDataFrame([(t, 2, 1) for t in names] + [(terms.RECORD, 0, records)], kind)
+    path = ws.at("counts")
+    first = [f"w{i}" for i in range(60)]
+    state = terms.TermCounts(spark, path).apply(made(first, 60), "a")
+    before = state._meta()
+    assert before["buckets"] == 13 and before["terms"] == 60
+    with monkeypatch.context() as m:
+        m.setattr("textquarry.plans.versions.Versions.publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            terms.TermCounts(spark, path).apply(made(["w3"], 1), "b")
+    again = terms.TermCounts(spark, path)
+    assert again._meta() == before and again.records() == 60
+    after = again.apply(made(["w3"], 1), "b")._meta()
+    assert sum(x != y for x, y in zip(before["places"], after["places"])) == 1 and (after["terms"], after["records"]) == (60, 61)
+    # two runs from one version: the second is refused, and may be sent again
+    one, two = terms.TermCounts(spark, path), terms.TermCounts(spark, path)
+    real = two._buckets
+    monkeypatch.setattr(two, "_buckets", lambda *a: one.apply(made(["x1"], 1), "c") and real(*a))
+    with pytest.raises(AlreadyPublished):
+        two.apply(made(["x2"], 1), "d")
+    monkeypatch.undo()
+    monkeypatch.setattr(terms.TermCounts, "BUCKET_TERMS", 5)
+    terms.TermCounts(spark, path).apply(made(["x2"], 1), "d")
+    terms.TermCounts(spark, path).apply(made([f"v{i}" for i in range(600)], 600), "e")  # buckets are laid out anew
+    state = terms.TermCounts(spark, path)
+    counts = {r.term: (r.tf, r.df) for r in state.read().collect()}
+    assert counts == {t: (4, 2) if t == "w3" else (2, 1) for t in [*first, "x1", "x2", *(f"v{i}" for i in range(600))]}
+    assert state.records() == 663 and state._meta()["buckets"] == 133 and state._meta()["terms"] == len(counts)
+
+
+def test_a_record_with_very_many_rows(spark, ws, monkeypatch):
+    rows = _rows(3)
+    df = spark.createDataFrame(rows, KIND)
+    key = lambda d: sorted((r.chunk_ord, r.term, r.tf, r.row_sum) for r in d.collect())
+    want = key(terms.latest_bags(df))
+    monkeypatch.setattr(terms, "HOT_ROWS", 20)
+    monkeypatch.setattr(terms, "HOT_SHARE", 0.0)
+    assert key(terms.latest_bags(df)) == want
+    assert {(c, t): n for c, t, n, _ in want if t != terms.RECORD} == {(c, t): n for c, b in _bags(rows).items() for t, n in b.items()}
 
 
 def test_ranking_by_weight_gives_residuals_too(spark):
