@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from textquarry.llm import neighbours
+from textquarry.llm import int8, neighbours
 from textquarry.plans.workspace import Workspace
 
 KIND = "chunk_ord long, embedding array<float>, code int, rep long"
@@ -41,7 +41,7 @@ def _rows(seed, dim=16):
     return rows
 
 
-@pytest.mark.parametrize("seed,block,k", [(1, 8192, 5), (2, 16, 5), (3, 8192, 2)])
+@pytest.mark.parametrize("seed,block,k", [(1, 8192, 5), (2, 16, 5), (3, 8192, 9)])
 def test_recall_and_exact_order(spark, ws, monkeypatch, seed, block, k):
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rows = _rows(seed)
@@ -51,30 +51,73 @@ def test_recall_and_exact_order(spark, ws, monkeypatch, seed, block, k):
     assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
-def test_every_cell_probed_is_exact(spark, ws):
+@pytest.mark.parametrize("block,hot", [(8192, 64), (32, 64), (8192, 8)])
+def test_all_against_all_is_exact(spark, ws, monkeypatch, block, hot):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "HOT_LEAST", hot)
     rows = _rows(4)
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], KIND)
-    got = {tuple(x) for x in neighbours.similar_pairs(df, ws, 5, 0.75, 16, probes=16, cells=0.1).collect()}
+    got = {tuple(x) for x in neighbours.similar_pairs(df, ws, 5, 0.75, 16, cell_rows=None).collect()}
     assert got == brute(rows, 5, 0.75, 16)
 
 
+@pytest.mark.parametrize("n", [500, 1000, 2000])
+def test_near_copies_give_k_rows_each(spark, n):
+    """Copies of one direction with noise so small that they can't be told apart by their codes."""
+    r = np.random.default_rng(n)
+    base = r.normal(size=32)
+    rows = [(i, (base + 1e-3 * r.normal(size=32)).tolist()) for i in range(n)] + [(n + i, r.normal(size=32).tolist()) for i in range(300)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], KIND)
+    ws = Workspace(spark, "copies")
+    near, _, _ = neighbours.nearest_lists(df, ws, 5, 0.75, 32)
+    assert near.count() <= 5 * (n + 300)
+    got = {tuple(x) for x in neighbours.similar_pairs(df, Workspace(spark, "pairs"), 5, 0.75, 32).collect()}
+    want = brute(rows, 5, 0.75, 32)
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+def test_two_levels_of_centres(spark, ws, monkeypatch):
+    monkeypatch.setattr(neighbours, "FIRST_CENTRES", 8)
+    rows = _rows(6)
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], KIND)
+    cells = neighbours.make_cells(neighbours._hashed(df, 16), len(rows), 16, 40)
+    assert len(cells.first) <= 6 and cells.count > len(cells.first)
+    x = np.random.default_rng(1).normal(size=(50, 16)).astype(np.float32)
+    near = cells.nearest(x, 3)
+    assert near.shape == (50, 3) and near.max() < cells.count and all(len(set(v)) == 3 for v in near.tolist())
+    got = {tuple(v) for v in neighbours.similar_pairs(df, ws, 5, 0.75, 16, probes=8, cell_rows=60).collect()}
+    want = brute(rows, 5, 0.75, 16)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_several_vectors_of_a_chunk(spark, ws):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], KIND)
+    assert {tuple(x) for x in neighbours.similar_pairs(df, ws, 1, dim=2, cell_rows=None).collect()} == {(1, 2), (1, 3)}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 1), (2, [1.0, 0.0], 1, 1), (3, [0.0, 1.0], 1, 1)], KIND)
     assert [tuple(x) for x in neighbours.similar_pairs(df, Workspace(spark, "a"), dim=2).collect()] == [(1, 2)]
     assert neighbours.similar_pairs(df, Workspace(spark, "b")).count() == 0  # no vector has 128 numbers
     assert neighbours.similar_pairs(df.limit(0), Workspace(spark, "c")).count() == 0
     with pytest.raises(ValueError):
-        neighbours.similar_pairs(df, Workspace(spark, "d"), k=6)
+        neighbours.similar_pairs(df, Workspace(spark, "d"), k=0)
 
 
 def test_bounds_hold():
     r = np.random.default_rng(0)
-    x = r.normal(size=(300, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    hi, lo, scale, err_hi, err = neighbours.quantise(x)
-    true = x @ x.T
-    rough = (hi.astype(float) @ hi.T) * scale[:, None] * scale
-    fine = hi + lo / 254.0
-    close = (fine @ fine.T) * scale[:, None] * scale
-    assert (np.abs(true - rough) <= 1.02 * (err_hi[:, None] + err_hi)).all()
-    assert (np.abs(true - close) <= 1.005 * (err[:, None] + err)).all() and np.abs(true - close).max() < 1e-4
+    x = neighbours.unit(r.normal(size=(300, 64)))
+    code, scale, err = neighbours.quantise(x)
+    rough = int8.int8_product(code, code) * scale[:, None] * scale
+    assert (np.abs(x @ x.T - rough) <= 1.02 * (err[:, None] + err)).all()
+
+
+def test_int8_product(monkeypatch):
+    r = np.random.default_rng(1)
+    a, b = (r.integers(-128, 128, (n, 40)).astype(np.int8) for n in (7, 9))
+    want = a.astype(int) @ b.T.astype(int)
+    for session in (None, False):  # by the library, if it is there, and without
+        monkeypatch.setattr(int8, "_session", session)
+        assert (int8.int8_product(a, b) == want).all()
+    assert int8.int8_product(a[:0], b).shape == (0, 9)

@@ -9,95 +9,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.dense import matrix
 from ..plans.skew import keyed_lookup
 from ..plans.workspace import Workspace
+from .int8 import int8_product
 
 DIM, K, THRESHOLD = 128, 5, 0.75
-#: Cells that each vector goes to; cells per square root of the number of vectors; bounds on the number of cells.
-PROBES, CELLS, LEAST_CELLS, MOST_CELLS = 4, 2.0, 16, 16384
-#: Vectors from which the cells' centres are made (at most, and for each cell), and rounds of moving the centres.
-SAMPLE, SAMPLE_PER_CELL, ROUNDS = 65536, 64, 5
+#: Cells that each vector goes to; vectors of a cell that the number of cells aims at; bounds on the number of cells.
+PROBES, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 3, 1500, 16, 131_072
+#: Centres made on the driver; more are made in tasks, so many at most in each of these.
+FIRST_CENTRES, NEXT_CENTRES = 1024, 1024
+#: Vectors from which centres are made, for each of them, and at most on the driver; rounds of moving them.
+SAMPLE_PER_CELL, SAMPLE, ROUNDS = 64, 65536, 5
 #: Vectors of a cell in one block: a larger cell is cut into blocks, and every two blocks make a tile of their own.
 BLOCK = 8192
+#: A group of equal vectors that holds more than this share of all (and ``HOT_LEAST``) is searched for its first members alone.
+HOT_SHARE, HOT_LEAST = 1 / 4096, 64
 _ROUND = 5e-7  # half a unit of the sixth place
-_KEPT = 6  # of a group of equal vectors: any member's five nearest are among the six first ones
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(hi, lo, scale, err_hi, err)`` of unit vectors: x is about ``scale * hi``, and closer ``scale * (hi + lo / 254)``.
-
-    The errors are the lengths of the differences, a little rounded up.
-    """
-    scale = np.abs(x).max(axis=1) / 127.0
-    ratio = x / scale[:, None]
-    hi = np.rint(ratio)
-    lo = np.rint((ratio - hi) * 254.0)
-    err_hi = np.linalg.norm(ratio - hi, axis=1) * scale
-    err = np.linalg.norm(ratio - hi - lo / 254.0, axis=1) * scale
-    return hi.astype(np.int8), lo.astype(np.int8), scale, err_hi * 1.001 + 1e-7, err * 1.001 + 1e-7
-
-
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``column`` that are usable vectors, as a matrix, and their places."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    places = np.flatnonzero(lengths == dim)
-    starts = column.offsets.to_numpy()[places]
-    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
-    m = values[starts[:, None] + np.arange(dim)] if len(places) else np.zeros((0, dim))
-    good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
-    return m[good], places[good]
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _bytes(m: np.ndarray) -> pa.Array:
-    n, d = m.shape
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(code, scale, err)`` of unit vectors: x is about ``scale * code``; err is the length of the difference, a little rounded up."""
+    scale = np.abs(x).max(axis=1) / 127.0
+    code = np.rint(x / scale[:, None])
+    err = np.linalg.norm(x - code * scale[:, None], axis=1)
+    return code.astype(np.int8), scale, err * 1.001 + 1e-7
+
+
+def _binary(m: np.ndarray) -> pa.Array:
+    n, size = len(m), m.shape[1] * m.itemsize
     flat = np.ascontiguousarray(m).view(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * d, d, dtype=np.int32)), pa.py_buffer(flat)])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(flat)])
 
 
-def _codes(column, dim: int) -> np.ndarray:
+def _floats(column, dim: int) -> np.ndarray:
+    """Rows of a column of ``_binary``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.zeros((0, dim), np.int8)
-    start = column.offset * dim
-    return np.frombuffer(column.buffers()[2], np.int8)[start : start + len(column) * dim].reshape(-1, dim)
+        return np.zeros((0, dim), np.float32)
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], np.float32, len(column) * dim, start).reshape(-1, dim)
 
 
 def _col(batch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[name].to_numpy()
 
 
-_CODE = "code binary, scale double, err_hi double, err double"
-
-
-def coded(vectors: DataFrame, dim: int) -> DataFrame:
-    """``(h1, h2, chunk_ord, code, scale, err_hi, err)`` of usable vectors, nearly free of copies.
-
-    ``h1, h2`` identify the raw vector. Of each batch only the six least
-    distinct ``chunk_ord`` of a vector are kept, so copies, even a third of all
-    rows, shrink before they are shuffled.
-    """
-
-    def run(batches):
-        for b in batches:
-            m, at = _matrix(b.column("embedding"), dim)
-            ids = np.stack([_col(b, c)[at] for c in ("h1", "h2", "chunk_ord")], axis=1) if len(at) else np.zeros((0, 3), np.int64)
-            _, first = np.unique(ids, axis=0, return_index=True)  # sorted by vector, then chunk_ord
-            group = np.flatnonzero(np.r_[True, (ids[first][1:, :2] != ids[first][:-1, :2]).any(axis=1)]) if len(first) else first
-            place = np.arange(len(first)) - np.repeat(group, np.diff(np.r_[group, len(first)]))
-            pick = first[place < _KEPT]
-            hi, lo, scale, err_hi, err = quantise(_unit(m[pick])) if len(pick) else (np.zeros((0, dim), np.int8),) * 2 + (np.zeros(0),) * 3
-            cols = [*(pa.array(ids[pick, i]) for i in range(3)), _bytes(np.concatenate([hi, lo], axis=1)), *map(pa.array, (scale, err_hi, err))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "chunk_ord", "code", "scale", "err_hi", "err"])
-
-    return _hashed(vectors, dim).mapInArrow(run, f"h1 long, h2 long, chunk_ord long, {_CODE}")
-
-
 def _hashed(vectors: DataFrame, dim: int) -> DataFrame:
     rows = vectors.where(F.col("chunk_ord").isNotNull() & (F.size("embedding") == dim))
     return rows.select("chunk_ord", F.col("embedding").cast("array<float>").alias("embedding")).select(
@@ -105,28 +67,30 @@ def _hashed(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def centres(classes: DataFrame, n: int, dim: int, cells: int) -> np.ndarray:
-    """Cell centres by spherical k-means on the rows whose hash is in a range that holds about ``SAMPLE`` of the ``n`` at most.
+def _usable(batch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(vectors, ids)`` of the different rows of a batch that are usable; ids are ``h1, h2, chunk_ord``."""
+    m, at = matrix(batch.column("embedding"), dim)
+    ids = np.stack([_col(batch, c)[at] for c in ("h1", "h2", "chunk_ord")], axis=1) if len(at) else np.zeros((0, 3), np.int64)
+    _, first = np.unique(ids, axis=0, return_index=True)
+    return m[first], ids[first]
 
-    (A limit by order would send so many rows of every task to the driver.) It starts from rows that are not close to one taken before, so that a group
-    of vectors of nearly one direction, however large, gets one centre.
-    """
-    share = min(SAMPLE, SAMPLE_PER_CELL * cells) / n
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
-    rows = classes.where(place < int(share * (1 << 40))).select("rep", F.substring("code", 1, dim).alias("c")).collect()
-    rows.sort(key=lambda r: r[0])
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.int8).reshape(-1, dim).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    kept = np.zeros((cells, dim), np.float32)
+
+# cells
+
+
+def k_means(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit centres of about ``cells`` cells. They start from rows not close to one taken before, so that vectors of nearly one direction, however many, get one."""
+    kept = np.zeros((cells, x.shape[1]), np.float32)
     n = 0
-    for v in x[: 4 * cells]:
+    # a fixed order that has nothing to do with the rows' own
+    for v in x[np.random.default_rng(5).permutation(len(x))]:
         if n == 0 or (kept[:n] @ v).max() < 0.6:
             kept[n] = v
             n += 1
             if n == cells:
                 break
-    kept = kept[:n]
-    for _ in range(ROUNDS):
+    kept = kept[: max(1, n)]
+    for _ in range(rounds):
         moved = np.zeros_like(kept)
         for i in range(0, len(x), 2048):
             part = x[i : i + 2048]
@@ -136,211 +100,325 @@ def centres(classes: DataFrame, n: int, dim: int, cells: int) -> np.ndarray:
     return kept.astype(np.float32)
 
 
-def _probe(code: np.ndarray, middles: np.ndarray, probes: int) -> np.ndarray:
-    near = code.astype(np.float32) @ middles.T
+class Cells:
+    """Centres in one or two levels: those of the first, and below each of them its own, if there are any."""
+
+    def __init__(self, first: np.ndarray, below: dict[int, np.ndarray] | None = None):
+        self.first, self.below = first, below or {}
+        sizes = [len(self.below.get(i, ())) or 1 for i in range(len(first))]
+        self.base = np.cumsum([0, *sizes])
+        self.count = int(self.base[-1])
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Numbers of the ``probes`` nearest cells of each row; of the first level, the ``probes`` nearest are looked into."""
+        first = _nearest(x @ self.first.T, probes)
+        if not self.below:
+            return first
+        names, likes = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0), np.float32)  # cells looked into, and how near they are
+        for j in range(first.shape[1]):
+            own_names = np.zeros((len(x), probes), np.int64)
+            own_likes = np.full((len(x), probes), -9.0, np.float32)
+            for g in np.unique(first[:, j]):
+                rows = np.flatnonzero(first[:, j] == g)
+                inner = self.below.get(int(g), self.first[g : g + 1])
+                near = x[rows] @ inner.T
+                best = _nearest(near, probes)
+                own_names[rows[:, None], np.arange(best.shape[1])] = best + self.base[g]
+                own_likes[rows[:, None], np.arange(best.shape[1])] = np.take_along_axis(near, best, axis=1)
+            names, likes = np.concatenate([names, own_names], axis=1), np.concatenate([likes, own_likes], axis=1)
+        return np.take_along_axis(names, _nearest(likes, min(probes, self.count)), axis=1)
+
+
+def _nearest(near: np.ndarray, probes: int) -> np.ndarray:
     t = min(probes, near.shape[1])
-    return np.argpartition(-near, t - 1, axis=1)[:, :t] if t < near.shape[1] else np.tile(np.arange(t), (len(code), 1))
+    return np.argpartition(-near, t - 1, axis=1)[:, :t] if t < near.shape[1] else np.tile(np.arange(t), (len(near), 1))
 
 
-def _top(row: np.ndarray, sim: np.ndarray, slack: float, k: int) -> np.ndarray:
-    """Mask of the entries that may be among the ``k`` best of their row, if each may be off by half of ``slack``."""
-    order = np.lexsort((-sim, row))
-    r, s = row[order], sim[order]
-    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    count = np.diff(np.r_[start, len(r)])
-    kth = s[start + np.minimum(count, k) - 1]
-    kth[count < k] = -2.0
-    mask = np.zeros(len(r), bool)
-    mask[order] = s >= np.repeat(kth, count) - slack
-    return mask
+def make_cells(rows: DataFrame, n: int, dim: int, wanted: int) -> Cells:
+    """About ``wanted`` cells for ``rows`` of ``_hashed``, of which ``n`` are usable and different.
 
+    Centres come from rows whose hash lies in a range. Up to ``FIRST_CENTRES`` are
+    made on the driver, from at most ``SAMPLE`` rows or so; for more cells, each of
+    the first ones is divided by centres of its own, made in tasks from its part
+    of a sample that grows with their number. What comes to the driver is a
+    centre for each cell, ``MOST_CELLS * dim`` floats at most.
+    """
 
-def _survivors(near: np.ndarray, least: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places that reach ``least`` and, where many do, may be among the ``k`` best of their row or column.
+    def sampled(share: float) -> DataFrame:
+        place = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40))
+        return rows.where(place < int(min(1.0, share) * (1 << 40)))
 
-    The diagonal of a block with itself takes one of the places, hence ``k + 1``.
-    """
-    mask = near >= least
-    if mask.sum() > 32 * sum(near.shape) and min(near.shape) > k + 1:
-        rows = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] - slack
-        cols = np.partition(near, -(k + 1), axis=0)[-(k + 1)] - slack
-        mask &= (near >= rows[:, None]) | (near >= cols[None, :])
-    return np.nonzero(mask)
-
-
-def tile(table: pa.Table, dim: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, other, sim)``: pairs of one tile, by place, that may be among the ``k`` best of ``row``, at the finer precision."""
-    side = _col(table, "side")
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both sides, a block with itself
-    code, scale = _codes(table["code"], 2 * dim), _col(table, "scale")
-    err_hi, err, ids = _col(table, "err_hi"), _col(table, "err"), _col(table, "rep")
-    hi = code[:, :dim].astype(np.float32)
-    slack = 2 * (2.01 * float(err.max()) + 1e-6) if len(err) else 0.0
-    parts = []
-    for i in range(0, len(left), 1024):
-        a = left[i : i + 1024]
-        for j in range(0, len(right), 4096):
-            b = right[j : j + 4096]
-            near = hi[a] @ hi[b].T  # exact: whole numbers below 2**24
-            near *= scale[a].astype(np.float32)[:, None]
-            near *= scale[b].astype(np.float32)[None, :]
-            rough = 1e-5 + 1.02 * (err_hi[a].max() + err_hi[b].max())
-            x, y = _survivors(near, threshold - rough, 2 * rough, k)
-            keep = (ids[a[x]] < ids[b[y]]) if side[a[0]] == 2 else slice(None)
-            r, c = a[x][keep], b[y][keep]
-            sim = np.zeros(len(r))
-            for h in range(0, len(r), 65536):
-                p, q = r[h : h + 65536], c[h : h + 65536]
-                fine = [hi[v] + code[v, dim:].astype(np.float32) / np.float32(254.0) for v in (p, q)]
-                sim[h : h + 65536] = np.einsum("ij,ij->i", *fine, dtype=np.float64) * scale[p] * scale[q]
-            ok = np.flatnonzero(sim >= threshold - slack)
-            if len(ok):  # what isn't among the best of this part isn't among the best at all
-                r, c, sim = r[ok], c[ok], sim[ok]
-                ok = _top(r, sim, slack, k) | _top(c, sim, slack, k)
-                parts.append((r[ok], c[ok], sim[ok]))
-    r, c, sim = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    row, other, both = np.concatenate([r, c]), np.concatenate([c, r]), np.concatenate([sim, sim])
-    if not len(row):
-        return row, row, both
-    top = _top(row, both, slack, k)
-    return row[top], other[top], both[top]
+    def units(batches):
+        for b in batches:
+            m, ids = _usable(b, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), _binary(unit(m).astype(np.float32) if len(m) else m.astype(np.float32))], names=["h", "x"])
+
+    count = min(wanted, FIRST_CENTRES if wanted <= FIRST_CENTRES else max(1, math.isqrt(wanted)))
+    share = min(SAMPLE, SAMPLE_PER_CELL * count) / n
+    got = sorted((r[0], bytes(r[1])) for r in sampled(share).mapInArrow(units, "h long, x binary").distinct().collect())
+    x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, dim) if got else np.eye(1, dim, dtype=np.float32)
+    first = k_means(x, count)
+    if wanted <= FIRST_CENTRES:
+        return Cells(first)
+    top = rows.sparkSession.sparkContext.broadcast(first)
+    share = min(1.0, SAMPLE_PER_CELL * wanted / n)
+
+    def assigned(batches):
+        for b in batches:
+            x = _floats(b.column("x"), dim)
+            yield pa.RecordBatch.from_arrays([pa.array((x @ top.value.T).argmax(axis=1)), b.column("x")], names=["cell", "x"])
 
+    def divide(table: pa.Table) -> pa.Table:
+        x = _floats(table["x"], dim)
+        cells = int(min(NEXT_CENTRES, max(1, round(len(x) * wanted / (n * share)))))
+        x = x[: SAMPLE_PER_CELL * cells]  # rows of a cell are in order of their hashes
+        made = k_means(x, cells)
+        return pa.table({"cell": pa.array(np.full(len(made), table["cell"][0].as_py())), "x": _binary(made)})
 
-def similar_pairs(
-    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: int = PROBES, cells: float = CELLS
-) -> DataFrame:
-    """``(chunk_ord_a, chunk_ord_b)`` with a < b, of which one is among the ``k`` most similar of the other.
+    held = sampled(share).mapInArrow(units, "h long, x binary").distinct().mapInArrow(assigned, "cell long, x binary")
+    found: dict[int, list[bytes]] = {}
+    for r in held.groupBy("cell").applyInArrow(divide, "cell long, x binary").collect():
+        found.setdefault(r[0], []).append(bytes(r[1]))
+    return Cells(first, {g: np.frombuffer(b"".join(sorted(v)), np.float32).reshape(-1, dim) for g, v in found.items()})
 
-    Usable vectors have ``dim`` finite numbers, not all 0; others, and rows with
-    a null ``chunk_ord``, are passed over. Similarity is the cosine rounded to 6
-    places, at least ``threshold``; ties go to the smaller ``chunk_ord``. Equal
-    vectors are one class: it is searched once, and each member then gets its
-    own ``k`` (other members first). Different vectors of one ``chunk_ord`` are
-    searched each on its own; a chunk is never paired with itself.
-
-    Search: each vector goes to the ``probes`` nearest of about ``cells *
-    sqrt(n)`` centres; vectors that share a cell are compared, so the work grows
-    as n to the power 1.5, and pairs that share none are missed (less than 1 %
-    of the true pairs on the test data). A cell is one tile, or if it is larger
-    than ``BLOCK`` a tile for every two of its blocks. In a tile, an int8 matrix
-    product bounds all similarities; what may reach the threshold is computed
-    from finer codes, with bounds again, and each vector keeps what may be among
-    its ``k`` best. Lists of all tiles are merged. Where the bounds leave the
-    order at place ``k`` or the threshold open, the pair is computed from the
-    raw vectors in double precision.
+
+# tiles
+
+
+def best_of(rows: np.ndarray, row_chunks: np.ndarray, cols: np.ndarray, col_chunks: np.ndarray, k: int, threshold: float):
+    """``(row, other, sim)``: for each row of ``rows`` the ``k`` best chunks of ``cols`` that reach ``threshold``.
+
+    Unit vectors; a row's own chunk doesn't count, and of several vectors of a
+    chunk the likest does. Ties, at 6 places, go to the smaller chunk. The int8
+    product bounds each similarity from both sides by the rows' own errors.
+    What may be among a row's best is computed in double precision.
+    """
+    order = np.argsort(col_chunks, kind="stable")
+    cols, col_chunks = cols[order], col_chunks[order]
+    starts = np.flatnonzero(np.r_[True, col_chunks[1:] != col_chunks[:-1]]) if len(cols) else np.zeros(0, np.int64)
+    names, many = col_chunks[starts], len(starts) < len(col_chunks)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(cols)]))
+    code_r, scale_r, err_r = quantise(rows)
+    code_c, scale_c, err_c = quantise(cols)
+    out_row, out_name, out_sim = [], [], []
+    width = 4096
+    for i in range(0, len(rows), 1024):
+        a = slice(i, i + 1024)
+        heaps_key = np.zeros((len(rows[a]), 0), np.int64)
+        for j in range(0, len(cols), width):
+            b = slice(j, j + width)
+            near = int8_product(code_r[a], code_c[b]).astype(np.float32)
+            near *= scale_r[a].astype(np.float32)[:, None]
+            near *= scale_c[b].astype(np.float32)[None, :]
+            # |x.y - near| <= err_x |near y| + err_y |x|
+            slack = (1.02 * err_r[a].astype(np.float32)[:, None] + 1.02 * err_c[b].astype(np.float32)[None, :]) + np.float32(1e-5)
+            mine = row_chunks[a][:, None] == col_chunks[b][None, :]
+            high = near + slack
+            high[mine] = -3.0
+            low = near - slack
+            low[mine] = -3.0
+            floor = np.full(len(near), threshold - _ROUND, np.float32)
+            if not many and near.shape[1] > k:  # with several vectors of a chunk, k vectors may be fewer chunks
+                floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k] - np.float32(2e-6))
+            mask = high >= floor[:, None]
+            if mask.sum() * 8 > mask.size:
+                r, c = np.nonzero(mask)
+                sims = (rows[a] @ cols[b].T)[r, c]
+            else:
+                r, c = np.nonzero(mask)
+                sims = np.empty(len(r))
+                for h in range(0, len(r), 65536):
+                    p, q = r[h : h + 65536] + i, c[h : h + 65536] + j
+                    sims[h : h + 65536] = np.einsum("ij,ij->i", rows[p], cols[q])
+            # one whole number orders by similarity at 6 places, then by chunk: its place in ``names`` counts down
+            key = (np.rint(sims * 1e6).astype(np.int64) << 32) + (len(names) - group[c + j])
+            ok = key >= np.int64(round(threshold * 1e6)) << 32
+            r, key = r[ok], key[ok]
+            top = _k_greatest(r, key, len(near), k, many)
+            heaps_key = np.concatenate([heaps_key, top], axis=1)
+        if heaps_key.shape[1]:
+            merged = -np.sort(-heaps_key, axis=1)
+            if many:
+                merged = _first_of_each(merged)
+            merged = merged[:, :k]
+            r, c = np.nonzero(merged > 0)
+            key = merged[r, c]
+            out_row.append(r + i)
+            out_name.append(names[len(names) - (key & 0xFFFFFFFF)])
+            out_sim.append((key >> 32) / 1e6)
+    if not out_row:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(out_row), np.concatenate(out_name), np.concatenate(out_sim)
+
+
+def _k_greatest(row: np.ndarray, key: np.ndarray, rows: int, k: int, many: bool) -> np.ndarray:
+    """The ``k`` greatest keys of each row, in a matrix filled up with 0; with ``many``, of different chunks."""
+    order = np.lexsort((-key, row))
+    row, key = row[order], key[order]
+    if many and len(row):  # of one chunk the greatest; equal chunks have equal low halves
+        low = key & 0xFFFFFFFF
+        by = np.lexsort((-key, low, row))
+        first = np.r_[True, (row[by][1:] != row[by][:-1]) | (low[by][1:] != low[by][:-1])]
+        keep = np.sort(by[first])
+        row, key = row[keep], key[keep]
+    start = np.searchsorted(row, np.arange(rows))
+    place = np.arange(len(row)) - start[row] if len(row) else np.zeros(0, np.int64)
+    out = np.zeros((rows, k), np.int64)
+    ok = place < k
+    out[row[ok], place[ok]] = key[ok]
+    return out
+
+
+def _first_of_each(keys: np.ndarray) -> np.ndarray:
+    """Keys of each row in falling order, each chunk once."""
+    out = np.zeros_like(keys)
+    for i, line in enumerate(keys):
+        _, first = np.unique(line & 0xFFFFFFFF, return_index=True)
+        kept = line[np.sort(first)]
+        out[i, : len(kept)] = kept
+    return -np.sort(-out, axis=1)
+
+
+_NEAR = "a long, va long, b long, sim double"
+
+
+def tile(table: pa.Table, dim: int, k: int, threshold: float) -> pa.Table:
+    """Best chunks ``(a, va, b, sim)`` of the vectors of one tile, from both sides; ``va`` tells vectors of one chunk apart."""
+    ids = np.stack([_col(table, "chunk_ord"), _col(table, "h1"), _col(table, "side")], axis=1)
+    _, first = np.unique(ids, axis=0, return_index=True)
+    ids, x = ids[first], unit(_floats(table["x"], dim)[first].astype(np.float64))
+    parts = []
+    if ids[0, 2] == 2:
+        parts.append((np.arange(len(ids)), np.arange(len(ids))))
+    else:
+        one, two = np.flatnonzero(ids[:, 2] == 0), np.flatnonzero(ids[:, 2] == 1)
+        parts += [(one, two), (two, one)]
+    cols = [[], [], [], []]
+    for p, q in parts:
+        r, name, sim = best_of(x[p], ids[p, 0], x[q], ids[q, 0], k, threshold) if len(p) and len(q) else (p[:0], p[:0], np.zeros(0))
+        for c, v in zip(cols, (ids[p[r], 0], ids[p[r], 1], name, sim)):
+            c.append(v)
+    a, va, b, sim = (np.concatenate(c) for c in cols)
+    return pa.table({"a": pa.array(a, pa.int64()), "va": pa.array(va, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+
+def nearest_lists(
+    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: int = PROBES, cell_rows: int | None = CELL_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``(a, va, b, sim)``: the ``k`` chunks most similar to each vector, as ``similar_pairs`` finds them, before they become pairs.
+
+    Also all different vectors by hash and chunk, and the hot groups of equal
+    ones, of which only the first ``k + 1`` members are listed.
     """
-    if not 0 < k < _KEPT:
-        raise ValueError(f"k must be between 1 and {_KEPT - 1}")
     spark = vectors.sparkSession
-    order = Window.partitionBy("h1", "h2").orderBy("chunk_ord")
-    firsts = coded(vectors, dim).withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= _KEPT)
-    own = [F.max(F.when(F.col("place") == 1, F.col(c))).alias(c) for c in ("code", "scale", "err_hi", "err")]
-    firsts = firsts.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("chunk_ord")).alias("members"), *own)
-    # different vectors of one chunk would share its number: such a class is named by a hash of the vector
-    classes = ws.cut(firsts.withColumn("rep", F.xxhash64("h1", "h2")), "classes")
-    n, worst = classes.agg(F.count(F.lit(1)), F.max("err")).first()
-    empty = spark.createDataFrame([], "chunk_ord_a long, chunk_ord_b long")
+    rows = _hashed(vectors, dim)
+
+    def names(batches):
+        for b in batches:
+            _, ids = _usable(b, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, i]) for i in range(3)], names=["h1", "h2", "chunk_ord"])
+
+    ids = ws.cut(rows.mapInArrow(names, "h1 long, h2 long, chunk_ord long").distinct(), "ids")
+    n = ids.count()
     if not n:
-        return empty
-    slack = 2 * (2.01 * worst + 1e-6) + 2 * _ROUND
-    wanted = int(min(MOST_CELLS, max(LEAST_CELLS, cells * math.sqrt(n))))
-    middles = spark.sparkContext.broadcast(centres(classes, n, dim, wanted))  # MOST_CELLS * dim * 4 bytes at most
+        return spark.createDataFrame([], _NEAR), ids, None
+    groups = ids.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > max(HOT_LEAST, k + 1, n * HOT_SHARE))
+    groups = ws.cut(groups, "hot")
+    members = Window.partitionBy("h1", "h2").orderBy("chunk_ord")
+    # the first members of fewer than 1 / HOT_SHARE groups
+    first = ids.join(F.broadcast(groups.select("h1", "h2")), ["h1", "h2"], "left_semi").withColumn("place", F.row_number().over(members)).where(F.col("place") <= k + 1)
+    kept: dict[tuple[int, int], list[int]] = {}
+    for h1, h2, c, _ in first.collect():
+        kept.setdefault((h1, h2), []).append(c)
+    hot = np.asarray(sorted(h1 for h1, _ in kept), np.int64)
+    wanted = 1 if cell_rows is None else int(min(MOST_CELLS, max(LEAST_CELLS, n * probes / cell_rows)))
+    cells = spark.sparkContext.broadcast(make_cells(rows, n, dim, wanted))
+
+    def placed(batch):
+        """Vectors, ids and cells of what is searched in a batch."""
+        m, ids = _usable(batch, dim)
+        if len(hot) and len(ids):
+            ok = ~np.isin(ids[:, 0], hot)
+            for i in np.flatnonzero(~ok):
+                ok[i] = ids[i, 2] in kept.get((ids[i, 0], ids[i, 1]), (ids[i, 2],))
+            m, ids = m[ok], ids[ok]
+        return m, ids, cells.value.nearest(unit(m).astype(np.float32), probes) if len(m) else np.zeros((0, 1), np.int64)
 
     def sizes(batches):
-        total = np.zeros(len(middles.value), np.int64)
+        total = np.zeros(cells.value.count, np.int64)
         for b in batches:
-            total += np.bincount(_probe(_codes(b.column("code"), 2 * dim)[:, :dim], middles.value, probes).ravel(), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
+            total += np.bincount(placed(b)[2].ravel(), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    held = classes.select("code").mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    blocks = np.ones(len(middles.value), np.int64)
+    held = rows.mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    blocks = np.ones(cells.value.count, np.int64)
     for cell, size in held.where(F.col("n") > BLOCK).collect():  # a row for each large cell
         blocks[cell] = -(-size // BLOCK)
-    names = ["cell", "bi", "bj", "side", "rep", "head", "m", "code", "scale", "err_hi", "err"]
 
     def spread(batches):
         for b in batches:
-            code = b.column("code")
-            near = _probe(_codes(code, 2 * dim)[:, :dim], middles.value, probes)
-            rep = _col(b, "rep")
-            row, cell = np.repeat(np.arange(len(rep)), near.shape[1]), near.ravel()
+            m, ids, near = placed(b)
+            row, cell = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
             nb = blocks[cell]
-            block = (rep[row].astype(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
+            block = (ids[row, 0].astype(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
             at = np.repeat(np.arange(len(row)), nb)  # once for each block of the cell
             other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
             mine = block[at]
-            side = np.where(mine == other, 2, np.where(mine < other, 0, 1))
-            # a block meets itself in a tile of its own, so that side 2 is alone there
-            take = pa.array(row[at])
-            cols = [pa.array(cell[at]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(side)]
-            yield pa.RecordBatch.from_arrays(cols + [b.column(c).take(take) for c in names[4:]], names=names)
-
-    sent = classes.select("rep", F.element_at("members", 1).alias("head"), F.size("members").alias("m"), *names[7:])
-    spreaded = sent.mapInArrow(spread, f"cell long, bi long, bj long, side long, rep long, head long, m int, {_CODE}")
-
-    ends = ["rep", "head", "m"]
-
-    def tiles(table: pa.Table) -> pa.Table:
-        row, other, sim = tile(table, dim, k, threshold)
-        out = {f"{c}_{x}": table[c].take(pa.array(at)) for x, at in (("a", row), ("b", other)) for c in ends}
-        return pa.table({**out, "sim": pa.array(sim, pa.float64())})
-
-    near = spreaded.groupBy("cell", "bi", "bj").applyInArrow(tiles, "rep_a long, head_a long, m_a int, rep_b long, head_b long, m_b int, sim double")
-    # one shuffle: all that follows up to the cut is by rep_a
-    near = near.repartition("rep_a").groupBy("rep_a", "rep_b").agg(*(F.first(c).alias(c) for c in ("head_a", "m_a", "head_b", "m_b")), F.max("sim").alias("sim"))
-    # place k, counted in members; own members come first
-    best = Window.partitionBy("rep_a").orderBy(F.col("sim").desc(), "rep_b")
-    cum = F.sum("m_b").over(best.rowsBetween(Window.unboundedPreceding, 0)) + F.col("m_a") - 1
-    near = near.withColumn("cum", cum).withColumn("before", F.col("cum") - F.col("m_b"))
-    row = Window.partitionBy("rep_a")
-    near = near.withColumn("kth", F.min(F.when(F.col("before") < k, F.col("sim"))).over(row))
-    near = near.where(F.col("kth").isNotNull() & (F.col("sim") >= F.col("kth") - slack) | (F.col("sim") >= 1 - slack))
-    close = F.abs(F.col("sim") - F.col("kth")) <= slack
-    tied = F.sum(F.when(close, 1).otherwise(0)).over(row)
-    past = F.max(F.when(close, F.col("cum"))).over(row)
-    unsure = close & (tied > 1) & (past > k) | (F.abs(F.col("sim") - threshold) <= slack) | (F.col("sim") >= 1 - slack) & (F.col("m_a") > 1)
-    near = near.select("rep_a", "head_a", "m_a", "rep_b", "head_b", "m_b", "sim", F.coalesce(unsure, F.lit(True)).alias("unsure"))
-    near = ws.cut(near, "near")
-
-    x, y = F.least("rep_a", "rep_b").alias("x"), F.greatest("rep_a", "rep_b").alias("y")
-    doubtful = ws.cut(near.where("unsure").select(x, y).distinct(), "doubtful")
-    wanted = near.where("unsure").select(F.col("head_a").alias("chunk_ord")).union(near.where("unsure").select("head_b")).distinct()
-    wanted = ws.cut(wanted, "wanted")
-    raw = _hashed(vectors, dim).join(wanted, "chunk_ord").select(F.xxhash64("h1", "h2").alias("rep"), "embedding")
-    raw = ws.cut(raw.groupBy("rep").agg(F.first("embedding").alias("v")), "raw")
-    pairs = doubtful.join(raw.withColumnsRenamed({"rep": "x", "v": "vx"}), "x").join(raw.withColumnsRenamed({"rep": "y", "v": "vy"}), "y")
-
-    def exact(batches):
-        for b in batches:
-            (p, i), (q, _) = _matrix(b.column("vx"), dim), _matrix(b.column("vy"), dim)
-            sim = np.round(np.einsum("ij,ij->i", _unit(p), _unit(q)), 6) if len(i) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(sim)], names=["x", "y", "exact"])
-
-    sure = pairs.mapInArrow(exact, "x long, y long, exact double")
-    settled = near.where("unsure").withColumns({"x": x, "y": y}).join(sure, ["x", "y"]).withColumn("sim", F.col("exact"))
-    cols = ["rep_a", "head_a", "m_a", "rep_b", "head_b", "m_b", "sim"]
-    near = near.where("not unsure").select(*cols).unionByName(settled.select(*cols))
-    near = near.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= threshold)
-
-    many = classes.where(F.size("members") > 1).select("rep", "h1", "h2", F.col("members")[0].alias("head"), F.size("members").alias("m"), "members")
-    many = ws.cut(many, "many")
-    own = many.select(F.col("rep").alias("rep_a"), F.col("head").alias("head_a"), F.col("m").alias("m_a"), F.lit(1.0).alias("sim"), "members")
-    several = near.where("m_b > 1").drop("head_b").join(many.select(F.col("rep").alias("rep_b"), "members"), "rep_b")
-    named = ["rep_a", "head_a", "m_a", (-F.col("sim")).alias("d")]
-    lists = near.where("m_b = 1").select(*named, F.col("head_b").alias("c"))
-    lists = lists.unionByName(several.select(*named, F.explode("members").alias("c"))).unionByName(own.select(*named, F.explode("members").alias("c")))
-    first = Window.partitionBy("rep_a").orderBy("d", "c")
-    lists = lists.withColumn("p", F.dense_rank().over(first)).where(F.col("p") <= _KEPT)
-    lists = lists.groupBy("rep_a", "head_a", "m_a").agg(F.array_sort(F.collect_set(F.struct("d", "c"))).alias("best"))
-    lists = ws.cut(lists, "lists")
-    single = lists.where("m_a = 1").select(F.col("head_a").alias("chunk_ord"), "best")
-    several = lists.where("m_a > 1").join(many.select(F.col("rep").alias("rep_a"), "h1", "h2"), "rep_a").select("h1", "h2", "best")
-    # all members of the classes that have more than one, however many
-    copies = _hashed(vectors, dim).select("h1", "h2", "chunk_ord").distinct()
-    copies = ws.cut(copies.join(many.select("h1", "h2"), ["h1", "h2"], "left_semi"), "copies")
-    weights = copies.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("w"))
-    spread_lists = keyed_lookup(copies, several.join(weights, ["h1", "h2"]), ["h1", "h2"], "w", copies.count())
-    every = single.unionByName(spread_lists.select("chunk_ord", "best"))
-    mine = F.slice(F.filter("best", lambda s: s["c"] != F.col("chunk_ord")), 1, k)
-    out = every.select("chunk_ord", F.explode(mine).alias("s")).select("chunk_ord", F.col("s.c").alias("c"))
-    return out.select(F.least("chunk_ord", "c").alias("chunk_ord_a"), F.greatest("chunk_ord", "c").alias("chunk_ord_b")).distinct()
+            side = np.where(mine == other, 2, np.where(mine < other, 0, 1))  # a block meets itself in a tile of its own
+            cols = [cell[at], np.minimum(mine, other), np.maximum(mine, other), side, ids[row[at], 2], ids[row[at], 0]]
+            x = _binary(m.astype(np.float32)[row[at]])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), x], names=["cell", "bi", "bj", "side", "chunk_ord", "h1", "x"])
+
+    sent = rows.mapInArrow(spread, "cell long, bi long, bj long, side long, chunk_ord long, h1 long, x binary")
+    near = sent.groupBy("cell", "bi", "bj").applyInArrow(lambda t: tile(t, dim, k, threshold), _NEAR)
+    # a pair that several tiles found has one similarity
+    near = near.repartition("a", "va").groupBy("a", "va", "b").agg(F.max("sim").alias("sim"))
+    best = Window.partitionBy("a", "va").orderBy(F.col("sim").desc(), "b")
+    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return ws.cut(near, "near"), ids, groups
+
+
+def similar_pairs(
+    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: int = PROBES, cell_rows: int | None = CELL_ROWS
+) -> DataFrame:
+    """``(chunk_ord_a, chunk_ord_b)`` with a < b, of which one is among the ``k`` most similar of the other.
+
+    Usable vectors have ``dim`` finite numbers, not all 0; others, and rows with
+    a null ``chunk_ord``, are passed over. Similarity is the cosine rounded to 6
+    places, at least ``threshold``; ties go to the smaller ``chunk_ord``.
+    Different vectors of one ``chunk_ord`` are searched each on its own; a chunk
+    is never paired with itself.
+
+    Each vector goes to the ``probes`` nearest cells; vectors that share a cell
+    are compared, and pairs that share none are missed (see the README for how
+    many). The number of cells grows with that of the vectors, so cells keep
+    their size. A cell is one tile, or if it is larger than ``BLOCK`` a tile for
+    every two of its blocks. In a tile, an int8 product bounds all similarities;
+    survivors are computed in double precision, and each vector keeps its ``k``
+    best, so a tile gives out no more than ``k`` rows for each of its vectors
+    and side, however alike they are. Lists of all tiles are merged.
+    ``cell_rows`` None compares all vectors with all, in blocks, and misses none.
+
+    Of a large group of equal vectors only the first ``k + 1`` members are
+    searched. Every other one has the same ``k`` best: the first of all chunks at
+    similarity 1, which one list of a searched member, and that member, hold.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    near, ids, groups = nearest_lists(vectors, ws, k, threshold, dim, probes, cell_rows)
+    pairs = near.select("a", "b")
+    if groups is not None and groups.count():
+        inside = ids.join(F.broadcast(groups), ["h1", "h2"])
+        members = Window.partitionBy("h1", "h2").orderBy("chunk_ord")
+        first = inside.groupBy("h1", "h2").agg(F.min("chunk_ord").alias("a"))
+        ones = first.join(near.where(F.col("sim") == 1.0), (first["a"] == near["a"]) & (first["h1"] == near["va"])).select("h1", "h2", "b")
+        ones = ones.unionByName(first.select("h1", "h2", F.col("a").alias("b")))
+        top = ones.withColumn("p", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("b"))).where(F.col("p") <= k)
+        top = top.groupBy("h1", "h2").agg(F.collect_list("b").alias("best")).join(groups, ["h1", "h2"])
+        searched = inside.withColumn("p", F.row_number().over(members)).where(F.col("p") <= k + 1).select("h1", "h2", "chunk_ord")
+        others = inside.select("h1", "h2", "chunk_ord").join(F.broadcast(searched), ["h1", "h2", "chunk_ord"], "left_anti")
+        spread = keyed_lookup(others, top, ["h1", "h2"], "w", ids.count())
+        pairs = pairs.unionByName(spread.select(F.col("chunk_ord").alias("a"), F.explode("best").alias("b")))
+    pairs = pairs.where("a <> b")  # chunks with several vectors may meet themselves
+    return pairs.select(F.least("a", "b").alias("chunk_ord_a"), F.greatest("a", "b").alias("chunk_ord_b")).distinct()
