@@ -30,6 +30,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that are usable vectors (``dim`` finite numbers, not all 0), as a matrix, and their places."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    places = np.flatnonzero(lengths == dim)
+    starts = column.offsets.to_numpy()[places]
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+    m = values[starts[:, None] + np.arange(dim)] if len(places) else np.zeros((0, dim))
+    good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+    return m[good], places[good]
+
+
 def cosine_top(
     questions: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_ord", exclude_self: bool = False
 ) -> DataFrame:
@@ -51,25 +63,25 @@ def cosine_top(
     out: DataFrame | None = None
     for i in range(blocks):
         own = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
-        block = own.select("question_id", "embedding").collect()
-        by_size: dict[int, list] = {}
-        for r in block:
-            by_size.setdefault(len(r[1]), []).append(r)
-        held = rows.sparkSession.sparkContext.broadcast({d: ([r[0] for r in rs], _units([r[1] for r in rs])) for d, rs in by_size.items()})
+        block = own.select("question_id", "embedding").toArrow().combine_chunks()
+        ids, asked = (block.column(c).combine_chunks() for c in range(2))
+        by_size = {}
+        for d in {n.as_py() for n in asked.value_lengths().unique()}:
+            m, at = matrix(asked, d)
+            by_size[d] = ids.take(pa.array(at)).to_pylist(), _units(m)
+        held = rows.sparkSession.sparkContext.broadcast(by_size)
 
         def score(batches, held=held):
             for b in batches:
-                lists = b.column(1).to_pylist()
-                sizes = np.asarray([len(v) for v in lists], dtype=np.int64)
                 got: list[tuple[list, list, np.ndarray]] = []
                 for d, (ids, q) in held.value.items():
-                    at = np.flatnonzero(sizes == d)
+                    m, at = matrix(b.column(1), d)
                     if not len(at) or not d:
                         continue
                     own_keys = b.column(0).take(pa.array(at))
                     order = np.asarray(pc.sort_indices(own_keys))
                     own_keys = own_keys.take(pa.array(order))
-                    s = np.round(_units([lists[j] for j in at[order]]) @ q.T, 6)
+                    s = np.round(_units(m[order]) @ q.T, 6)
                     r, c = _best(s, k + 1)
                     got.append(([ids[j] for j in c], own_keys.take(pa.array(r)).to_pylist(), s[r, c]))
                 cols = [pa.array([x for g in got for x in g[i]], kind) for i, kind in enumerate((_arrow(qkind), _arrow(kind), pa.float64()))]
@@ -98,11 +110,9 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _units(vectors: list) -> np.ndarray:
-    m = np.asarray([[np.nan if x is None else x for x in v] for v in vectors], dtype=np.float64)
-    m[~np.isfinite(m).all(axis=1)] = 0.0
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm > 0, norm, 1.0)
+def _units(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True, initial=1e-300)  # so that squares neither overflow nor vanish
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 class Encoder(Protocol):
