@@ -83,8 +83,10 @@ def test_two_levels_of_centres(spark, ws, monkeypatch):
     cells = neighbours.make_cells(neighbours._hashed(df, 16), len(rows), 16, 40)
     assert len(cells.first) <= 6 and cells.count > len(cells.first)
     x = np.random.default_rng(1).normal(size=(50, 16)).astype(np.float32)
-    near = cells.nearest(x, 3)
-    assert near.shape == (50, 3) and near.max() < cells.count and all(len(set(v)) == 3 for v in near.tolist())
+    near, likes = cells.nearest(x, 3)
+    assert near.shape == (50, 3) and near.max() < cells.count and all(len(set(v)) == 3 for v in near.tolist()) and (np.diff(likes) <= 0).all()
+    row, cell = cells.of(x, 3)
+    assert set(row) == set(range(50)) and {(r, near[r, 0]) for r in range(50)} <= set(zip(row, cell))
     got = {tuple(v) for v in neighbours.similar_pairs(df, ws, 5, 0.75, 16, probes=8, cell_rows=60).collect()}
     want = brute(rows, 5, 0.75, 16)
     assert len(got & want) >= 0.95 * len(want)

@@ -15,8 +15,8 @@ from ..plans.workspace import Workspace
 from .int8 import int8_product
 
 DIM, K, THRESHOLD = 128, 5, 0.75
-#: Cells that each vector goes to; vectors of a cell that the number of cells aims at; bounds on the number of cells.
-PROBES, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 3, 1500, 16, 131_072
+#: Cells that a vector goes to, on average and at most; vectors of a cell that the number of cells aims at; bounds on the number of cells.
+PROBES, MOST_PROBES, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 3.5, 8, 1500, 16, 131_072
 #: Centres made on the driver; more are made in tasks, so many at most in each of these.
 FIRST_CENTRES, NEXT_CENTRES = 1024, 1024
 #: Vectors from which centres are made, for each of them, and at most on the driver; rounds of moving them.
@@ -101,40 +101,61 @@ def k_means(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 class Cells:
-    """Centres in one or two levels: those of the first, and below each of them its own, if there are any."""
+    """Centres in one or two levels: those of the first, and below each of them its own, if there are any.
+
+    A vector goes to the cell whose centre is nearest, and to others whose
+    centres are farther by no more than ``reach``: one that lies between cells
+    goes to several, one well inside a cell to that alone.
+    """
 
     def __init__(self, first: np.ndarray, below: dict[int, np.ndarray] | None = None):
-        self.first, self.below = first, below or {}
+        self.first, self.below, self.reach = first, below or {}, 0.0
         sizes = [len(self.below.get(i, ())) or 1 for i in range(len(first))]
         self.base = np.cumsum([0, *sizes])
         self.count = int(self.base[-1])
 
-    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """Numbers of the ``probes`` nearest cells of each row; of the first level, the ``probes`` nearest are looked into."""
-        first = _nearest(x @ self.first.T, probes)
+    def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the ``most`` nearest cells of each row, and how near they are, in order; below the ``most`` nearest first centres only."""
+        near = x @ self.first.T
+        first = _greatest(near, most)
         if not self.below:
-            return first
-        names, likes = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0), np.float32)  # cells looked into, and how near they are
+            return first, np.take_along_axis(near, first, axis=1)
+        names, likes = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0), np.float32)
         for j in range(first.shape[1]):
-            own_names = np.zeros((len(x), probes), np.int64)
-            own_likes = np.full((len(x), probes), -9.0, np.float32)
+            own_names = np.zeros((len(x), most), np.int64)
+            own_likes = np.full((len(x), most), -9.0, np.float32)
             for g in np.unique(first[:, j]):
                 rows = np.flatnonzero(first[:, j] == g)
-                inner = self.below.get(int(g), self.first[g : g + 1])
-                near = x[rows] @ inner.T
-                best = _nearest(near, probes)
+                near = x[rows] @ self.below.get(int(g), self.first[g : g + 1]).T
+                best = _greatest(near, most)
                 own_names[rows[:, None], np.arange(best.shape[1])] = best + self.base[g]
                 own_likes[rows[:, None], np.arange(best.shape[1])] = np.take_along_axis(near, best, axis=1)
             names, likes = np.concatenate([names, own_names], axis=1), np.concatenate([likes, own_likes], axis=1)
-        return np.take_along_axis(names, _nearest(likes, min(probes, self.count)), axis=1)
+        best = _greatest(likes, min(most, self.count))
+        return np.take_along_axis(names, best, axis=1), np.take_along_axis(likes, best, axis=1)
+
+    def fit_reach(self, x: np.ndarray, probes: float, most: int) -> "Cells":
+        """Sets ``reach`` so that rows like ``x`` go to ``probes`` cells on average."""
+        _, likes = self.nearest(x, most)
+        gaps = (likes[:, :1] - likes[:, 1:]).ravel()
+        if len(gaps):
+            self.reach = float(np.quantile(gaps, min(1.0, max(0.0, (probes - 1) / (likes.shape[1] - 1)))))
+        return self
+
+    def of(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, cell)`` of all cells that the rows go to."""
+        names, likes = self.nearest(x, most)
+        return (at := np.nonzero(likes[:, :1] - likes <= self.reach))[0], names[at]
 
 
-def _nearest(near: np.ndarray, probes: int) -> np.ndarray:
-    t = min(probes, near.shape[1])
-    return np.argpartition(-near, t - 1, axis=1)[:, :t] if t < near.shape[1] else np.tile(np.arange(t), (len(near), 1))
+def _greatest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest of each row, in falling order."""
+    k = min(k, near.shape[1])
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def make_cells(rows: DataFrame, n: int, dim: int, wanted: int) -> Cells:
+def make_cells(rows: DataFrame, n: int, dim: int, wanted: int, probes: float = PROBES) -> Cells:
     """About ``wanted`` cells for ``rows`` of ``_hashed``, of which ``n`` are usable and different.
 
     Centres come from rows whose hash lies in a range. Up to ``FIRST_CENTRES`` are
@@ -158,8 +179,9 @@ def make_cells(rows: DataFrame, n: int, dim: int, wanted: int) -> Cells:
     got = sorted((r[0], bytes(r[1])) for r in sampled(share).mapInArrow(units, "h long, x binary").distinct().collect())
     x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, dim) if got else np.eye(1, dim, dtype=np.float32)
     first = k_means(x, count)
+    most = max(MOST_PROBES, math.ceil(probes))
     if wanted <= FIRST_CENTRES:
-        return Cells(first)
+        return Cells(first).fit_reach(x, probes, most)
     top = rows.sparkSession.sparkContext.broadcast(first)
     share = min(1.0, SAMPLE_PER_CELL * wanted / n)
 
@@ -179,7 +201,8 @@ def make_cells(rows: DataFrame, n: int, dim: int, wanted: int) -> Cells:
     found: dict[int, list[bytes]] = {}
     for r in held.groupBy("cell").applyInArrow(divide, "cell long, x binary").collect():
         found.setdefault(r[0], []).append(bytes(r[1]))
-    return Cells(first, {g: np.frombuffer(b"".join(sorted(v)), np.float32).reshape(-1, dim) for g, v in found.items()})
+    below = {g: np.frombuffer(b"".join(sorted(v)), np.float32).reshape(-1, dim) for g, v in found.items()}
+    return Cells(first, below).fit_reach(x, probes, most)
 
 
 # tiles
@@ -303,7 +326,7 @@ def tile(table: pa.Table, dim: int, k: int, threshold: float) -> pa.Table:
 
 
 def nearest_lists(
-    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: int = PROBES, cell_rows: int | None = CELL_ROWS
+    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: float = PROBES, cell_rows: int | None = CELL_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """``(a, va, b, sim)``: the ``k`` chunks most similar to each vector, as ``similar_pairs`` finds them, before they become pairs.
 
@@ -332,22 +355,24 @@ def nearest_lists(
         kept.setdefault((h1, h2), []).append(c)
     hot = np.asarray(sorted(h1 for h1, _ in kept), np.int64)
     wanted = 1 if cell_rows is None else int(min(MOST_CELLS, max(LEAST_CELLS, n * probes / cell_rows)))
-    cells = spark.sparkContext.broadcast(make_cells(rows, n, dim, wanted))
+    cells = spark.sparkContext.broadcast(make_cells(rows, n, dim, wanted, probes))
+    most = max(MOST_PROBES, math.ceil(probes))
 
     def placed(batch):
-        """Vectors, ids and cells of what is searched in a batch."""
+        """Vectors and ids of what is searched in a batch, and in pairs the row of each and a cell it goes to."""
         m, ids = _usable(batch, dim)
         if len(hot) and len(ids):
             ok = ~np.isin(ids[:, 0], hot)
             for i in np.flatnonzero(~ok):
                 ok[i] = ids[i, 2] in kept.get((ids[i, 0], ids[i, 1]), (ids[i, 2],))
             m, ids = m[ok], ids[ok]
-        return m, ids, cells.value.nearest(unit(m).astype(np.float32), probes) if len(m) else np.zeros((0, 1), np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return m, ids, *(cells.value.of(unit(m).astype(np.float32), most) if len(m) else none)
 
     def sizes(batches):
         total = np.zeros(cells.value.count, np.int64)
         for b in batches:
-            total += np.bincount(placed(b)[2].ravel(), minlength=len(total))
+            total += np.bincount(placed(b)[3], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
@@ -358,8 +383,7 @@ def nearest_lists(
 
     def spread(batches):
         for b in batches:
-            m, ids, near = placed(b)
-            row, cell = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
+            m, ids, row, cell = placed(b)
             nb = blocks[cell]
             block = (ids[row, 0].astype(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
             at = np.repeat(np.arange(len(row)), nb)  # once for each block of the cell
@@ -380,7 +404,7 @@ def nearest_lists(
 
 
 def similar_pairs(
-    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: int = PROBES, cell_rows: int | None = CELL_ROWS
+    vectors: DataFrame, ws: Workspace, k: int = K, threshold: float = THRESHOLD, dim: int = DIM, probes: float = PROBES, cell_rows: int | None = CELL_ROWS
 ) -> DataFrame:
     """``(chunk_ord_a, chunk_ord_b)`` with a < b, of which one is among the ``k`` most similar of the other.
 
@@ -390,8 +414,8 @@ def similar_pairs(
     Different vectors of one ``chunk_ord`` are searched each on its own; a chunk
     is never paired with itself.
 
-    Each vector goes to the ``probes`` nearest cells; vectors that share a cell
-    are compared, and pairs that share none are missed (see the README for how
+    Each vector goes to the cells near it, ``probes`` on average, more if it lies
+    between cells; vectors that share a cell are compared, and pairs that share none are missed (see the README for how
     many). The number of cells grows with that of the vectors, so cells keep
     their size. A cell is one tile, or if it is larger than ``BLOCK`` a tile for
     every two of its blocks. In a tile, an int8 product bounds all similarities;
