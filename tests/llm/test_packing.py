@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textquarry.llm import packing
@@ -39,9 +40,41 @@ def test_plan_does_not_grow_with_the_items():
     assert len(many) < 4 * 512 and len(few) < 4 * 512
 
 
-@pytest.mark.parametrize("rank_rows", [500_000, 4])
-def test_pack(spark, ws, monkeypatch, rank_rows):
-    monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
+def _brackets(kind):
+    stack, pairs, gaps = [], [], []
+    for i, k in enumerate(kind):
+        if k == 0:
+            stack.append(i)
+        elif stack:
+            pairs.append((stack.pop(), i))
+        else:
+            gaps.append(i)
+    return sorted(pairs), gaps, stack
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sweeps_of_ranges_give_the_matching_of_the_whole(seed):
+    r = random.Random(seed)
+    kind = np.asarray([r.randrange(2) for _ in range(r.randrange(0, 60))], np.int64)
+    item, gap, gaps, items = packing.successors(kind)
+    want = _brackets(kind)
+    assert (sorted(zip(item.tolist(), gap.tolist())), gaps.tolist(), items.tolist()) == want
+    cuts = sorted(r.randrange(len(kind) + 1) for _ in range(3)) if len(kind) else []
+    parts = [range(a, b) for a, b in zip([0, *cuts], [*cuts, len(kind)])]
+    pairs, left = [], {}
+    for p, own in enumerate(parts):
+        item, gap, gaps, items = packing.successors(kind[list(own)] if len(own) else kind[:0])
+        pairs += [(own[a], own[b]) for a, b in zip(item, gap)]
+        left[p] = [own[i] for i in gaps], [own[i] for i in items][::-1]
+    for gp, gf, ip, first, n, _ in packing.segments({p: (len(g), len(i)) for p, (g, i) in left.items()}):
+        pairs += zip(left[ip][1][first : first + n], left[gp][0][gf : gf + n])
+    assert sorted(pairs) == want[0]
+
+
+@pytest.mark.parametrize("sweep_rows,rest_rows", [(50_000, 100_000), (20, 5)])
+def test_pack(spark, ws, monkeypatch, sweep_rows, rest_rows):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", sweep_rows)
+    monkeypatch.setattr(packing, "REST_ROWS", rest_rows)
     r = random.Random(3)
     texts = [" word" * r.randrange(1, 60) for _ in range(80)] + [" word" * 7] * 60 + ["", None, " word" * 450, "😀퟿" * 70]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, " word" * 3, 1), (3, texts[3], 1)]
@@ -61,7 +94,12 @@ def test_pack(spark, ws, monkeypatch, rank_rows):
                 got[(None if key == -1 else int(key), int(n))] += 1
     assert got == sizes
     pieces = [n for n in out.n_tokens if n]
-    assert out[out.n_tokens > 0].container_id.nunique() == _best_fit_decreasing(pieces, 100)
+    used = out[out.n_tokens > 0].container_id.nunique()
+    assert used <= _best_fit_decreasing(pieces, 100) * (1.05 if rest_rows > 5 else 1.3) + 1
+    assert out[out.n_tokens == 0].container_id.max() < used
+    # doc 3 stands twice, so it is told of as one that isn't whole; the null id has no row of its own
+    check = packing.packed_check(packing.pack(df.where("doc_id <> 3"), ws, capacity=100), df.where("doc_id <> 3"), 100).first()
+    assert (check.n_texts, check.n_missing, check.n_over) == (len(texts) - 1, 0, 0)
     assert packing.pack(df.limit(0), ws, capacity=100).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, ws, capacity=0)

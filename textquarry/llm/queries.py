@@ -70,6 +70,13 @@ def p7_pack(spark: SparkSession, sf: str, ws) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), ws)
 
 
+@scoped
+def p7_check(spark: SparkSession, sf: str, ws) -> DataFrame:
+    """That every text is packed once and whole, no container is over capacity, and at most one in a thousand tokens' room is left."""
+    documents = table(spark, sf, "documents")
+    return packing.packed_check(ws.cut(packing.pack(documents, ws), "packed"), documents)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -174,6 +181,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_pack": p7_pack,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
@@ -184,6 +192,7 @@ SQL = {
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_counts": P6_COUNTS_SQL,
+    "p7_check": "SELECT count(*) AS n_texts, 0::BIGINT AS n_missing, 0::BIGINT AS n_over, true AS well_filled FROM documents",
     "p8_found": P8_FOUND_SQL,
     "p9_found": P9_FOUND_SQL,
 }
