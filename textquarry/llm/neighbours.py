@@ -16,7 +16,7 @@ from .int8 import int8_product
 
 DIM, K, THRESHOLD = 128, 5, 0.75
 #: Cells that a vector goes to, on average and at most; vectors of a cell that the number of cells aims at; bounds on the number of cells.
-PROBES, MOST_PROBES, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 3.5, 8, 1500, 16, 131_072
+PROBES, MOST_PROBES, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 3.75, 8, 1500, 16, 131_072
 #: Centres made on the driver; more are made in tasks, so many at most in each of these.
 FIRST_CENTRES, NEXT_CENTRES = 1024, 1024
 #: Vectors from which centres are made, for each of them, and at most on the driver; rounds of moving them.
@@ -175,13 +175,14 @@ def make_cells(rows: DataFrame, n: int, dim: int, wanted: int, probes: float = P
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), _binary(unit(m).astype(np.float32) if len(m) else m.astype(np.float32))], names=["h", "x"])
 
     count = min(wanted, FIRST_CENTRES if wanted <= FIRST_CENTRES else max(1, math.isqrt(wanted)))
-    share = min(SAMPLE, SAMPLE_PER_CELL * count) / n
+    share = min(SAMPLE, 2 * SAMPLE_PER_CELL * count) / n
     got = sorted((r[0], bytes(r[1])) for r in sampled(share).mapInArrow(units, "h long, x binary").distinct().collect())
     x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, dim) if got else np.eye(1, dim, dtype=np.float32)
-    first = k_means(x, count)
+    # centres lie nearer to the rows they are made from than to others, so the reach is measured on others
+    first = k_means(x[::2], count)
     most = max(MOST_PROBES, math.ceil(probes))
     if wanted <= FIRST_CENTRES:
-        return Cells(first).fit_reach(x, probes, most)
+        return Cells(first).fit_reach(x[1::2] if len(x) > 1 else x, probes, most)
     top = rows.sparkSession.sparkContext.broadcast(first)
     share = min(1.0, SAMPLE_PER_CELL * wanted / n)
 
@@ -202,7 +203,7 @@ def make_cells(rows: DataFrame, n: int, dim: int, wanted: int, probes: float = P
     for r in held.groupBy("cell").applyInArrow(divide, "cell long, x binary").collect():
         found.setdefault(r[0], []).append(bytes(r[1]))
     below = {g: np.frombuffer(b"".join(sorted(v)), np.float32).reshape(-1, dim) for g, v in found.items()}
-    return Cells(first, below).fit_reach(x, probes, most)
+    return Cells(first, below).fit_reach(x[1::2] if len(x) > 1 else x, probes, most)
 
 
 # tiles
