@@ -43,14 +43,13 @@ def test_every_true_source_counts(spark):
     found = {i: [(n, k, _overlap(g, h)) for n, g in enumerate(l) for k, h in enumerate(reversed(l), 1)] for i, l, _ in asked}
     pairs = {(i, n, k, round(o, 6)) for i, rows in found.items() for n, k, o in rows if round(o, 6) > 0}
     assert max(n for _, n, _, _ in pairs) == 9
-    assert {tuple(r) for r in queries.iou_pairs_all(spark, SF).collect()} == pairs
-    assert {tuple(r) for r in queries.iou_pairs(spark, SF).collect()} == {p for p in pairs if p[1] < 3}
+    assert {tuple(r) for r in queries.iou_pairs(spark, SF).collect()} == pairs
     recall = {}
     for i, l, answer in asked:
         for k in (1, 3, 5, 10) if l and answer is not None else ():
             recall[i, k] = round(len({n for n, rank, o in found[i] if rank <= k and o >= 0.05}) / len(l), 6)
-    got = {(r.question_id, r.k): r.recall for r in queries.recall_at_k_all(spark, SF).where("recall is not null").collect()}
+    got = {(r.question_id, r.k): r.recall for r in queries.recall_at_k(spark, SF).where("recall is not null").collect()}
     assert got == recall
-    for r in queries.mean_recall_all(spark, SF).collect():
+    for r in queries.mean_recall(spark, SF).collect():
         own = [v for (_, k), v in recall.items() if k == r.k]
         assert abs(r.recall - sum(own) / len(own)) < 1e-6

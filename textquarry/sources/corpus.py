@@ -147,6 +147,24 @@ def with_texts(listing: DataFrame, root: str, total_bytes: int | None = None) ->
     return listing.mapInArrow(run, f"{schema}, text string")
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes ``files (file_path, text)`` as a tree below ``root``, in tasks; null texts as empty files."""
+
+    def run(batches):
+        tree = Tree(root)
+        n = 0
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = tree.inner(f"{tree.root}/{path}")
+                tree.fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with tree.fs.open_output_stream(at) as f:
+                    f.write((text or "").encode("utf-8", "surrogatepass"))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    files.select("file_path", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """The listing with ``text``."""
     return with_texts(list_corpus(spark, root), root)

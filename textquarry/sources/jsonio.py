@@ -78,7 +78,7 @@ def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return _read_results(spark, path, ANSWERS, ["question_id", "question", "retrieved_sources", "answer"])
 
 
-def _write(rows: DataFrame, k: int, target: str, columns: list[str]) -> str:
+def _write(rows: DataFrame, k: int | None, target: str, columns: list[str], name: str = "search_results") -> str:
     """One JSON document, on whatever file system ``target`` lies.
 
     Rows pass through the driver one partition at a time; the result set of a
@@ -91,11 +91,11 @@ def _write(rows: DataFrame, k: int, target: str, columns: list[str]) -> str:
     ordered = rows.orderBy("q_ord") if "q_ord" in rows.columns else rows
     out = fs.create(part, True)
     try:
-        out.write(bytearray(b'{"search_results": ['))
+        out.write(bytearray(f'{{"{name}": ['.encode()))
         for n, row in enumerate(ordered.select(*columns).toLocalIterator()):
             text = (",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False)
             out.write(bytearray(text.encode("utf-8", "surrogatepass")))
-        out.write(bytearray(f'\n], "k": {int(k)}}}\n'.encode()))
+        out.write(bytearray((f'\n], "k": {int(k)}}}\n' if k is not None else "\n]}\n").encode()))
     except BaseException:
         out.close()
         fs.delete(part, False)
@@ -107,6 +107,11 @@ def _write(rows: DataFrame, k: int, target: str, columns: list[str]) -> str:
     return target
 
 
+def write_questions(rows: DataFrame, target: str) -> str:
+    """``target``: ``{rag_questions}`` of ``(question_id, question, sources, answer)``."""
+    return _write(rows, None, target, ["question_id", "question", "sources", "answer"], "rag_questions")
+
+
 def write_results(rows: DataFrame, k: int, directory: str, name: str) -> str:
     """``directory/name``: ``{search_results, k}``, in order of ``q_ord``."""
     return _write(rows, k, f"{directory.rstrip('/')}/{name}", ["question_id", "question", "retrieved_sources"])
