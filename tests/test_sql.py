@@ -4,7 +4,9 @@ import pytest
 
 from textquarry.functions.sql import register_functions, register_tables
 from textquarry.functions.tokens import tokenize
-from textquarry.operators.models import ChatGenerator, SentenceEncoder
+from textquarry.operators.answering import ExtractiveGenerator
+from textquarry.operators.dense import HashEncoder, embed
+from textquarry.operators.models import ChatGenerator, SentenceEncoder, make_encoder, make_generator
 
 
 def test_functions(spark, tmp_path):
@@ -32,3 +34,32 @@ def test_models_say_what_is_missing():
     for call in (lambda: SentenceEncoder("m", 4).encode(["x"]), lambda: ChatGenerator("m").generate("x")):
         with pytest.raises(Exception):
             call()
+
+
+FAKE = """
+import numpy as np
+
+class SentenceTransformer:
+    def __init__(self, name):
+        self.name = name
+
+    def encode(self, texts, normalize_embeddings, show_progress_bar):
+        assert self.name == "some/model" and normalize_embeddings
+        return np.asarray([[len(t), 1.0] for t in texts], np.float32)
+"""
+
+
+def test_choice_of_models(spark, tmp_path):
+    assert isinstance(make_encoder(None), HashEncoder) and make_encoder("hash:16").dim == 16
+    assert isinstance(make_generator("extract"), ExtractiveGenerator)
+    chat = make_generator("chat:some/model", 42)
+    assert (chat.model, chat.max_new_tokens) == ("some/model", 42)
+    for bad in ("sentence:x", "other", "sentence::3"):
+        with pytest.raises(ValueError):
+            make_encoder(bad)
+    with pytest.raises(ValueError):
+        make_generator("chat")
+    (tmp_path / "sentence_transformers.py").write_text(FAKE)
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    rows = embed(spark.createDataFrame([(1, "abc"), (2, None)], "chunk_ord long, text string"), make_encoder("sentence:some/model:2"), "chunk_ord", "text")
+    assert sorted((r.chunk_ord, list(r.embedding)) for r in rows.collect()) == [(1, [3.0, 1.0]), (2, [0.0, 1.0])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from .operators.models import make_encoder, make_generator
 from .plans.engine import Engine, Source
 
 
@@ -17,6 +18,9 @@ def session():
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="textquarry", description="Index, search and evaluate a tree of text and source files.")
     p.add_argument("--index_dir", default="data/index")
+    p.add_argument("--encoder", default="hash", help="hash[:DIM], or sentence:MODEL:DIM; the same for index and search")
+    p.add_argument("--generator", default="extract", help="extract, or chat:MODEL")
+    p.add_argument("--max_new_tokens", type=int, default=300, help="greatest length of a generated answer")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, **options):
@@ -48,7 +52,12 @@ def line(s: Source) -> str:
 def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     out = out or sys.stdout
     a = parser().parse_args(argv)
-    engine = Engine(spark or session(), a.index_dir)
+    try:
+        encoder, generator = make_encoder(a.encoder), make_generator(a.generator, a.max_new_tokens)
+    except ValueError as e:
+        print(f"Error: {e}", file=out)
+        return 1
+    engine = Engine(spark or session(), a.index_dir, encoder, generator)
     try:
         if a.command == "index":
             made = engine.index(a.root, a.max_chunk_size, a.build_embeddings, a.incremental)

@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Which characters make a token, and where it changes into its parts. Fixed values.
+TOKEN, PART = "[A-Za-z0-9_]+", "(?<=[a-z0-9])(?=[A-Z])"
+
+
 def _parts(raw: Column) -> Column:
-    marked = F.regexp_replace(raw, "(?<=[a-z0-9])(?=[A-Z])", "_")
+    marked = F.regexp_replace(raw, PART, "_")
     return F.filter(F.split(marked, "_"), lambda p: p != "")
 
 
@@ -24,7 +28,7 @@ def tokenize(text: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.concat(F.array(F.lower(raw)), F.when(F.size(parts) > 1, lowered).otherwise(none))
 
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.flatten(F.transform(runs, expand))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .prompts import prompts
 
+# What is said without sources, and the greatest length of an answer. Fixed values.
 NO_SOURCES = "No relevant sources found -- cannot answer."
 MAX_NEW_TOKENS = 300
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .answering import MAX_NEW_TOKENS
+from .answering import MAX_NEW_TOKENS, ExtractiveGenerator
+from .dense import HashEncoder
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -50,3 +51,24 @@ class ChatGenerator:
         given = tokenizer([text], return_tensors="pt")
         made = model.generate(**given, max_new_tokens=self.max_new_tokens, do_sample=False)
         return tokenizer.decode(made[0][given["input_ids"].shape[1] :], skip_special_tokens=True).strip()
+
+
+def make_encoder(spec: str | None):
+    """``hash`` or ``hash:DIM`` (the default, no model), or ``sentence:MODEL:DIM``."""
+    kind, _, rest = (spec or "hash").partition(":")
+    if kind == "hash":
+        return HashEncoder(int(rest)) if rest else HashEncoder()
+    name, _, dim = rest.rpartition(":")
+    if kind != "sentence" or not name or not dim.isdigit():
+        raise ValueError(f"encoder must be hash, hash:DIM or sentence:MODEL:DIM, not {spec}")
+    return SentenceEncoder(name, int(dim))
+
+
+def make_generator(spec: str | None, max_new_tokens: int = MAX_NEW_TOKENS):
+    """``extract`` (the default, no model), or ``chat:MODEL``."""
+    kind, _, name = (spec or "extract").partition(":")
+    if kind == "extract":
+        return ExtractiveGenerator()
+    if kind != "chat" or not name:
+        raise ValueError(f"generator must be extract or chat:MODEL, not {spec}")
+    return ChatGenerator(name, max_new_tokens)
