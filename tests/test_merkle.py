@@ -35,6 +35,17 @@ def test_store_gives_each_change_once_and_survives_failures(spark, tmp_path):
     assert store.process(_df(spark, {"a": (1.0, 1)})).count() == 1
 
 
+def test_the_depth_is_kept_or_the_old_tree_built_anew(spark, tmp_path):
+    path = "file://" + str(tmp_path / "s")
+    open_at = lambda depth: merkle.SnapshotStore(spark, path, ["path"], ["mtime", "size"], depth)
+    state = {f"p{i}": (1.0, i) for i in range(200)}
+    assert open_at(4).process(_df(spark, state)).count() == 200
+    state["p7"] = (2.0, 7)
+    assert [r.path for r in open_at(5).process(_df(spark, state)).collect()] == ["p7"] and open_at(5).read("settings").first()[0] == 5
+    state["p8"] = (2.0, 8)
+    assert [r.path for r in open_at(None).process(_df(spark, state)).collect()] == ["p8"] and open_at(None).read("settings").first()[0] == 5
+
+
 def test_a_lost_race_is_not_published(spark, tmp_path):
     path = "file://" + str(tmp_path / "s")
     store = merkle.SnapshotStore(spark, path, ["path"], ["mtime", "size"])
