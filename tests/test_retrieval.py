@@ -37,7 +37,7 @@ def test_bm25_edges(spark, ws, monkeypatch, tmp_path):
     assert tf == {(0, "x"): 1, (0, "a_b"): 1, (0, "a"): 1, (0, "b"): 1, (0, "py"): 1, (2, "x"): 1, (2, "y"): 1, (3, "e"): 1}
     q = _ask(spark, x="x", n=None, none="zzz")
     want = sorted(map(tuple, lexical.search(q, index, 2).collect()))
-    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 1)
     assert sorted(map(tuple, lexical.search(q, index, 2).collect())) == want
     assert lexical.search(q, index, 0).count() == 0
     lexical.save(index, str(tmp_path / "i"))
