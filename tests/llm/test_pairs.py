@@ -41,6 +41,19 @@ def test_crf_learns_transitions():
     assert all(crf.tag(u) == t for u, t in data)
 
 
+def test_crf_gradient_and_optimum():
+    r = random.Random(3)
+    data = [([r.sample(range(12), r.randrange(1, 4)) for _ in range(n)], [r.randrange(3) for _ in range(n)]) for n in (1, 2, 3, 3, 4) * 6]
+    crf = Crf(3, 12)
+    loss = crf._loss([*data, *data[:7]], 1e-2)
+    at, step = np.random.default_rng(0).normal(size=crf.theta.shape), 1e-5
+    for i in np.ndindex(at.shape):
+        d = np.zeros_like(at)
+        d[i] = step
+        assert abs((loss(at + d)[0] - loss(at - d)[0]) / (2 * step) - loss(at)[1][i]) < 1e-6
+    assert np.abs(loss(crf.fit([*data, *data[:7]], 60, 1e-2).theta)[1]).max() < 1e-5
+
+
 @pytest.fixture(scope="module")
 def model():
     return pairs.fit([])
@@ -107,3 +120,52 @@ def test_words_of_late_clauses_are_learned():
     answer = "Der Lader liest jede Datei unter der Wurzel. " * 8 + "Die Zwischenablage wartet."
     rows = [(f"Welche Option bestimmt die Grenze des Lesers {i}?", answer) for i in range(6)]
     assert "zwischenablage" in pairs.fit(rows).lexicon
+
+
+def _held(monkeypatch):
+    """Models that ``defective_pairs`` gets, as they come."""
+    made, get = [], pairs.stored_model
+    monkeypatch.setattr(pairs, "stored_model", lambda *a: made.append(get(*a)) or made[-1])
+    return made
+
+
+def test_all_rows_are_learned_from(spark, monkeypatch):
+    """More rows than any sample had, each with a word of its own, and a long answer with one at its end."""
+    made = _held(monkeypatch)
+    own = ["".join(p) for p in itertools.product("bdfgklmnrs", "aeiou", "lmnrst", "aeiou")][:900]
+    rows = [(str(i), G, f"Der Lader liest {w}. " * 8) for i, w in enumerate(own)]
+    late = "Der Lader liest jede Datei unter der Wurzel. " * 600 + "Die Zwischenablage wartet. " * 8
+    got = pairs.defective_pairs(spark.createDataFrame([*rows, ("long", G, late)], "question_id string, question string, answer string"))
+    assert not [w for w in [*own, "zwischenablage"] if w not in made[0].lexicon]
+    assert got.count() == 0
+
+
+def test_fields_of_buckets_are_joined(spark, monkeypatch):
+    """One bucket gives what ``fit`` gives; several give one model that knows the features of each and judges as well."""
+    answers = ["Der Lader liest jede Datei.", "Er wartet auf den nächsten Lauf.", "The loader reads every file below the root.", "Each worker keeps its own copy of the table."]
+    rows = [(G if a[:2] in ("De", "Er") else Q, f"{a} {b}") for a in answers for b in answers if (a[:2] in ("De", "Er")) == (b[:2] in ("De", "Er"))]
+    alone = pairs.fit(rows)
+    one = pairs.stored_model(spark, rows * 2)
+    assert one.names == alone.names and one.lexicon.keys() == alone.lexicon.keys()
+    assert np.allclose(one.crf.theta, alone.crf.theta, atol=1e-3)
+    monkeypatch.setattr(pairs, "BUCKET_ROWS", 3)
+    two = pairs.stored_model(spark, rows)
+    assert not np.allclose(two.crf.theta, alone.crf.theta, atol=1e-3) and two.names.keys() >= alone.names.keys()
+    assert two.defects([(q, a) for q, a, _ in CASES]) == [want for _, _, want in CASES]
+
+
+def test_joined_weights():
+    """The mean goes by how often a bucket has the feature; a bucket without it has no say."""
+    a, b = ({"#3": np.asarray([w / pairs._GRAIN * n] * 5 + [n])} for w, n in ((1.0, 30), (3.0, 10)))
+    joined = pairs._joined(pairs.Model(), {"#3": a["#3"] + b["#3"], "tag 0": np.asarray([2 / pairs._GRAIN * 7] * 5 + [7]), "bias": a["#3"]})
+    assert joined.crf.theta[3].tolist() == [1.5] * 5 and joined.crf.theta[4096 + 1].tolist() == [2.0] * 5 and joined.crf.theta[joined.names["bias"]].tolist() == [1.0] * 5
+
+
+def test_pieces_are_whole():
+    r = random.Random(5)
+    parts = ["One sentence of some length. ", "Another\n", "```py\n" + "x = 1\n" * 50 + "```\n", "- item\n", "\n\n", "w" * 300 + " "]
+    for _ in range(50):
+        text = "".join(r.choices(parts, k=r.randrange(1, 300)))
+        made = pairs.pieces(text)
+        assert "".join(made) == text and all(len(pairs._FENCE.findall(p)) % 2 == 0 for p in made[:-1])
+    assert len(pairs.pieces("One sentence. " * 1000)) > 5 and pairs.pieces("") == [""]

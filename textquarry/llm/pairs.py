@@ -7,6 +7,7 @@ import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from random import Random
 
 import numpy as np
@@ -15,23 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.versions import AlreadyPublished, Versions
-from ..plans.workspace import shared_root
+from ..plans.workspace import Workspace, shared_root
 from .crf import Crf
 from .pair_words import CUES, EXAMPLES, FILLER_HEADS, FILLER_WORDS, OPEN_ENDS, OTHER_LANGUAGES, PLACEHOLDERS, STOP_WORDS
-from .tongues import Tongues, disguised
+from .tongues import Tongues, disguised, letter_groups
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 LANGUAGES = tuple(STOP_WORDS)
-#: Pairs from which training pairs are made (those of least hash), and the greatest length of one.
-SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
+#: Pairs that a field is trained on together, on average or up to twice as many; answers longer than this are trained on in pieces.
+BUCKET_ROWS, PIECE = 800, 2_000
 #: Share of a response's characters that a tag must cover to make a defect of the pair.
 COVERAGE = 0.5
 #: Pairs that are tagged together; changes of what a model holds raise the version.
-BATCH, VERSION = 512, 2
+BATCH, VERSION = 512, 3
 #: Steps of training.
 ROUNDS = 80
 _LEXICAL = 4096
+#: Weights are added up as whole multiples of this, so that their sum doesn't depend on the order.
+_GRAIN = 2.0**-20
 
 _INVISIBLE = re.compile("[​‌‍⁠﻿­᠎‎‏‪-‮⁡-⁤͏ㅤᅟᅠ⠀]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -98,6 +101,24 @@ def clauses(answer: str) -> list[tuple[str, str]]:
     return out or [("plain", answer.strip())]
 
 
+def pieces(answer: str) -> list[str]:
+    """All of an answer, in pieces of some ``PIECE`` characters that end where a sentence or line does, and not in a code block."""
+    if len(answer) <= PIECE:
+        return [answer]
+    out, held, size, fenced = [], [], 0, False
+    for line in re.findall(r"[^\n]*\n|[^\n]+", answer):
+        fence = bool(_FENCE.match(line))
+        ends = [] if fence or fenced else [m.end() for m in _SENTENCE.finditer(line) if not line.startswith(("```", "~~~"), m.end())]
+        fenced ^= fence
+        for a, b in zip([0, *ends], [*ends, len(line)]):
+            held.append(line[a:b])
+            size += b - a
+            if size >= PIECE and not fenced:
+                out.append("".join(held))
+                held, size = [], 0
+    return out + ["".join(held)] if size else out
+
+
 def plain(text: str) -> str:
     """Text without code spans and quotations, in lower case."""
     return _QUOTED.sub(" ", _CODE_SPAN.sub(" ", text)).lower()
@@ -128,7 +149,7 @@ def _told(cues: int) -> tuple[str, ...]:
 
 
 class Model:
-    """Languages, lexicon and random field; what the workers need, and nothing that grows with the data."""
+    """Languages, lexicon and random field; what the workers need. Only the lexicon grows, with the vocabulary."""
 
     def __init__(self) -> None:
         self.lexicon: dict[str, np.ndarray] = {}
@@ -136,20 +157,28 @@ class Model:
         self._words: dict[str, tuple] = {}
         self.names: dict[str, int] = {}
         self.crf: Crf | None = None
+        self._asked: dict = {}
 
     # languages
 
     def learn_languages(self, texts: list[tuple[str, str]]) -> None:
-        """``texts``: (language, text). Log odds of each word, from add-one counts; stop words count as certain."""
-        self._words.clear()
+        """``texts``: (language, text)."""
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
         for lang, text in texts:
             for w in set(_WORD.findall(plain(text))):
                 counts[w][LANGUAGES.index(lang)] += 1
-        total = sum(counts.values(), np.zeros(len(LANGUAGES))) + 1
-        for w, c in counts.items():
+        self.learn_words(counts.items(), sum(counts.values(), np.zeros(len(LANGUAGES))))
+
+    def learn_words(self, counts: Iterable[tuple[str, np.ndarray]], total: np.ndarray) -> None:
+        """``counts``: in how many texts of each language a word is. Log odds of each word; stop words count as certain.
+
+        A word not seen in a language counts as equally rare in each, however much text there is of it.
+        """
+        self._words.clear()
+        unseen = 0.3 * len(LANGUAGES) / (total + 1).sum()
+        for w, c in counts:
             if c.sum() >= 3 and len(w) > 1:
-                p = (c + 0.3) / total
+                p = c / (total + 1) + unseen
                 if p.max() > 6 * np.sort(p)[-2] or p.min() < 0.05 * p.max():
                     self.lexicon[w] = np.clip(np.log(p / p.max()), -4, 0)
         for k, words in _STOP.items():
@@ -208,87 +237,94 @@ class Model:
         """Feature numbers, size and kind of each clause, and whether it has much of the question."""
         parts = clauses(answer)
         q = question or ""
-        q_words, q_grams = Counter(_ANYWORD.findall(q.lower())), None
-        q_lang = self.language(q)[0] if q else None
+        if self._asked.get("question") != q or len(self._asked["seen"]) > 10_000:  # clauses of made pairs come again and again under their question
+            self._asked = {"question": q, "words": Counter(_ANYWORD.findall(q.lower())), "grams": None, "lang": self.language(q)[0] if q else None, "seen": {}}
+        seen = self._asked["seen"]
         units, sizes, echoes = [], [], []
         for n, (kind, text) in enumerate(parts):
-            names = ["bias", f"kind={kind}"]
-            last, code = n == len(parts) - 1, kind in ("code", "open_code")
-            core = _MARK.sub("", _LABEL.sub("", text))
-            words = _ANYWORD.findall(text.lower())
-            prose = "" if code else plain(_FENCE_NAME.sub("", text))
-            cased = _WORD.findall(prose)
-            # the question given back
-            same = sum(min(1, q_words[w]) for w in words) / max(1, len(words)) if q_words and not code else 0.0
-            echo = same > 0.5
-            value = kind in ("plain", "quoted") and bool(_VALUE.match(core.strip())) or not cased
-            if value:
-                names.append("value")
-            elif q_words and not code:
-                inside = covered = 0.0
-                if same > 0.2 or len(words) < 4:
-                    q_grams = q_grams or _grams(q)
-                    g = _grams(core)
-                    both = sum((g & q_grams).values())
-                    inside, covered = both / max(1, g.total()), both / max(1, q_grams.total())
-                names += [f"echo_in>{b}" for b in (0.5, 0.65, 0.8, 0.9) if inside > b]
-                names += [f"echo_of>{b}" for b in (0.3, 0.5, 0.65, 0.8) if covered > b]
-                names += [f"echo_words>{b}" for b in (0.5, 0.7, 0.85) if same > b]
-                fresh = sum(w not in q_words for w in words)
-                names += [f"fresh>{b}" for b in (0, 1, 2, 4) if fresh > b]
-                if any(x.strip("`") not in q for x in _CODE_SPAN.findall(text)):
-                    names.append("fresh code")
-                echo = inside > 0.5 or covered > 0.5 or same > 0.5
-                if inside > 0.6 and covered > 0.5:
-                    names.append("echo")
-                elif inside < 0.5 and covered < 0.5:
-                    names.append("own words")
-                if core.rstrip(" \"'»”*_").endswith(("?", "？")):
-                    names.append("asks")
-            # language
-            records = self.records(cased)
-            lang, lead = self._language(records)
-            if q_lang:
-                odd, telling = self.strange(records, q_lang)
-                names += [f"strange>{b}" for b in (-8, -2, 0, 3, 8, 16) if telling and odd > b]
-                names += [f"strange each>{b}" for b in (-1, -0.3, 0, 0.5, 1, 2) if telling and odd > b * telling]
-                names += [f"telling>{b}" for b in (2, 5) if telling > b]
-                if len(_FOREIGN_LETTER.findall(prose)) * 2 > len(prose.replace(" ", "")):
-                    names.append("other script")
-                if telling > 4 and not any(w in _STOP[q_lang] for w in cased):
-                    names.append("no stop words")
-            if lang and q_lang:
-                names += ["other language" if lang != q_lang else "own language"]
-                names += [f"{'other' if lang != q_lang else 'own'}>{b}" for b in (4, 8, 16) if lead > b]
-            elif not lang:
-                names.append("no language")
-            # refusing
-            cues = 0
-            for record in records:
-                cues |= record[2]
-            names += _told(cues)
-            if "`" in text:
-                names.append("has code")
-            # ending
-            if last:
-                names += ["last", f"last kind={kind}", *(f"last {x}" for x in self._ending(kind, text, cased))]
-            if kind == "heading":
-                names.append("heading last" if last else "heading inside")
-            names.append(f"long={min(5, len(words) // 4)}")
-            names.append("alone" if len(parts) == 1 else "first" if n == 0 else "later")
-            ids = [i for i in map(self._id, names) if i >= 0]
-            before, follows = "^", True
-            for b, record in zip(cased, records):
-                if record[3] >= 0:
-                    ids.append(record[3])
-                    if follows:
-                        ids.append(zlib.crc32(f"{before} {b}".encode()) % _LEXICAL)
-                before, follows = b, record[0] is not None
-            units.append(ids)
-            sizes.append(max(1, len(words)) if kind != "heading" else 1)
-            echoes.append(echo)
+            key = kind, text, n == len(parts) - 1, "alone" if len(parts) == 1 else "first" if n == 0 else "later"
+            found = seen.get(key) or seen.setdefault(key, self._clause(*key))
+            for x, to in zip(found, (units, sizes, echoes)):
+                to.append(x)
         return units, sizes, [k for k, _ in parts], echoes
 
+    def _clause(self, kind: str, text: str, last: bool, place: str) -> tuple[list[int], int, bool]:
+        """Feature numbers and size of a clause under the question at hand, and whether it has much of it."""
+        q, q_words, q_grams, q_lang = (self._asked[k] for k in ("question", "words", "grams", "lang"))
+        names = ["bias", f"kind={kind}"]
+        code = kind in ("code", "open_code")
+        core = _MARK.sub("", _LABEL.sub("", text))
+        words = _ANYWORD.findall(text.lower())
+        prose = "" if code else plain(_FENCE_NAME.sub("", text))
+        cased = _WORD.findall(prose)
+        # the question given back
+        same = sum(min(1, q_words[w]) for w in words) / max(1, len(words)) if q_words and not code else 0.0
+        echo = same > 0.5
+        value = kind in ("plain", "quoted") and bool(_VALUE.match(core.strip())) or not cased
+        if value:
+            names.append("value")
+        elif q_words and not code:
+            inside = covered = 0.0
+            if same > 0.2 or len(words) < 4:
+                q_grams = self._asked["grams"] = q_grams or _grams(q)
+                g = _grams(core)
+                both = sum((g & q_grams).values())
+                inside, covered = both / max(1, g.total()), both / max(1, q_grams.total())
+            names += [f"echo_in>{b}" for b in (0.5, 0.65, 0.8, 0.9) if inside > b]
+            names += [f"echo_of>{b}" for b in (0.3, 0.5, 0.65, 0.8) if covered > b]
+            names += [f"echo_words>{b}" for b in (0.5, 0.7, 0.85) if same > b]
+            fresh = sum(w not in q_words for w in words)
+            names += [f"fresh>{b}" for b in (0, 1, 2, 4) if fresh > b]
+            if any(x.strip("`") not in q for x in _CODE_SPAN.findall(text)):
+                names.append("fresh code")
+            echo = inside > 0.5 or covered > 0.5 or same > 0.5
+            if inside > 0.6 and covered > 0.5:
+                names.append("echo")
+            elif inside < 0.5 and covered < 0.5:
+                names.append("own words")
+            if core.rstrip(" \"'»”*_").endswith(("?", "？")):
+                names.append("asks")
+        # language
+        records = self.records(cased)
+        lang, lead = self._language(records)
+        if q_lang:
+            odd, telling = self.strange(records, q_lang)
+            names += [f"strange>{b}" for b in (-8, -2, 0, 3, 8, 16) if telling and odd > b]
+            names += [f"strange each>{b}" for b in (-1, -0.3, 0, 0.5, 1, 2) if telling and odd > b * telling]
+            names += [f"telling>{b}" for b in (2, 5) if telling > b]
+            if len(_FOREIGN_LETTER.findall(prose)) * 2 > len(prose.replace(" ", "")):
+                names.append("other script")
+            if telling > 4 and not any(w in _STOP[q_lang] for w in cased):
+                names.append("no stop words")
+        if lang and q_lang:
+            names += ["other language" if lang != q_lang else "own language"]
+            names += [f"{'other' if lang != q_lang else 'own'}>{b}" for b in (4, 8, 16) if lead > b]
+        elif not lang:
+            names.append("no language")
+        # refusing
+        cues = 0
+        for record in records:
+            cues |= record[2]
+        names += _told(cues)
+        if "`" in text:
+            names.append("has code")
+        # ending
+        if last:
+            names += ["last", f"last kind={kind}", *(f"last {x}" for x in self._ending(kind, text, cased))]
+        if kind == "heading":
+            names.append("heading last" if last else "heading inside")
+        names.append(f"long={min(5, len(words) // 4)}")
+        names.append(place)
+        ids = [i for i in map(self._id, names) if i >= 0]
+        before, follows = "^", True
+        for b, record in zip(cased, records):
+            if record[3] >= 0:
+                ids.append(record[3])
+                if follows:
+                    ids.append(zlib.crc32(f"{before} {b}".encode()) % _LEXICAL)
+            before, follows = b, record[0] is not None
+        return ids, max(1, len(words)) if kind != "heading" else 1, echo
+
     def _ending(self, kind: str, text: str, words: list[str]) -> list[str]:
         out = []
         bare = text.rstrip()
@@ -478,40 +514,192 @@ def training_pairs(rows: list[tuple[str, str]], model: Model, seed: int = 7):
             yield q, r.choice(ex["lists"]) + "\n" + items, ANSWER, ANSWER
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """Model from at most ``SAMPLE_ROWS`` (question, answer) pairs; the same for the same rows."""
+def _examples() -> list[tuple[str, str]]:
+    """(language, text) of all examples."""
+    return [(lang, t) for lang, ex in EXAMPLES.items() for key in ("questions", "answers", "refusals", "limits", "lists", "leads") for t in ex[key] * 3]
+
+
+def _first() -> Model:
+    """What tells languages before anything is learned from a table."""
     model = Model()
-    examples = [(lang, t) for lang, ex in EXAMPLES.items() for key in ("questions", "answers", "refusals", "limits", "lists", "leads") for t in ex[key] * 3]
-    model.learn_languages(examples)
-    told = [(model.language(q)[0], q, a) for q, a in rows]
-    texts = examples + [(lang, t) for lang, q, a in told if lang for t in (q, *(s for k, s in clauses(a) if k == "plain" and model.language(s)[0] in (None, lang)))]
-    model.learn_languages(texts)
-    r = Random(11)
-    spoken = {lang: [_WORD.findall(plain(t)) for k, t in texts if k == lang] for lang in LANGUAGES}
-    spoken["other"] = [_WORD.findall(disguised(plain(t), r)) for _, t in texts[:: max(1, len(texts) // 2000)]] + [_WORD.findall(t.lower()) for t in OTHER_LANGUAGES]
-    model.tongues = Tongues(spoken)
-    model._words.clear()
+    model.learn_languages(_examples())
+    return model
+
+
+def _spoken(first: Model, q: str, a: str, begins: bool) -> Iterator[tuple[str, str]]:
+    """(language, text) of a question, with the first piece of its answer, and of the sentences that may be in its language."""
+    lang = first.language(q)[0]
+    if lang:
+        if begins:
+            yield lang, q
+        yield from ((lang, s) for k, s in clauses(a) if k == "plain" and first.language(s)[0] in (None, lang))
+
+
+#: In how many texts a word is, and how often, by the number of the language and the word; the number after the last is the language of no one.
+Tally = dict[tuple[int, str], list[int]]
+
+
+def _count(tally: Tally, texts: Iterable[tuple[str, str]], under: str = "") -> None:
+    """Counts the words of each text, and those of the same text with letters exchanged, otherwise under another question."""
+    for i, (lang, text) in enumerate(texts):
+        prose = plain(text)
+        strange = disguised(prose, Random(zlib.crc32(f"{i} {under} {text}".encode("utf-8", "surrogatepass"))))
+        for k, t in ((LANGUAGES.index(lang), prose), (len(LANGUAGES), strange)):
+            for w, n in Counter(_WORD.findall(t)).items():
+                held = tally[k, w]
+                held[0] += 1
+                held[1] += n
+
+
+def _tally() -> Tally:
+    return defaultdict(lambda: [0, 0])
+
+
+def _examples_tally() -> Tally:
+    tally = _tally()
+    _count(tally, _examples())
+    for t in OTHER_LANGUAGES:
+        for w in _WORD.findall(t.lower()):
+            tally[len(LANGUAGES), w][1] += 1
+    return tally
+
+
+def _learned(words: Iterable[tuple[str, np.ndarray]], total: np.ndarray, groups: Iterable[tuple[int, str, str, int]]) -> Model:
+    """Languages from the words of known languages and the letter groups of all; the field is still to be trained."""
+    model = _first()
+    model.learn_words(words, total)
+    model.tongues = Tongues([*LANGUAGES, "other"], groups)
+    return model
+
+
+def _trained(learned: Model, rows: list[tuple[str, str]], bucket: int) -> dict[str, np.ndarray]:
+    """Weights of a field trained on pairs made from ``rows``, by feature: for each tag, times the feature's occurrences, in grains; then these."""
+    model = Model()
+    model.lexicon, model.tongues, model._words = learned.lexicon, learned.tongues, learned._words
     sequences = []
-    for q, a, last, rest in training_pairs(rows, model):
+    for q, a, last, rest in training_pairs(rows, model, 7 + bucket):
         units, _, kinds, _ = model.features(q, a)
         first, later = rest if isinstance(rest, tuple) else (rest, rest)
         tags = [first, *[later] * (len(units) - 1)]
         tags = [ANSWER if t == FOREIGN and k == "code" else t for t, k in zip(tags, kinds)]
         tags[-1] = last if not (last == FOREIGN and kinds[-1] == "code") else ANSWER
         sequences.append((units, tags))
-    crf = Crf(len(TAGS), _LEXICAL + len(model.names)).fit(sequences, ROUNDS)
-    model.crf = crf
-    return model
+    size = _LEXICAL + len(model.names)
+    theta = Crf(len(TAGS), size).fit(sequences, ROUNDS).theta
+    n = np.bincount(np.fromiter((i for units, _ in sequences for u in units for i in u), np.int64), minlength=len(theta))
+    n[size:] = len(sequences)
+    names = [f"#{i}" for i in range(_LEXICAL)] + list(model.names) + [f"tag {i}" for i in range(len(TAGS) + 2)]
+    grains = np.rint(theta / _GRAIN).astype(np.int64) * n[:, None]
+    return {name: np.append(grains[i], n[i]) for i, name in enumerate(names) if n[i]}
+
+
+def _joined(learned: Model, sums: dict[str, np.ndarray]) -> Model:
+    """The model whose weights are the mean over all buckets, each with the feature's occurrences there."""
+    names = sorted(k for k in sums if not re.fullmatch(r"#\d+|tag \d+", k))
+    learned.names = {k: _LEXICAL + i for i, k in enumerate(names)}
+    learned.crf = Crf(len(TAGS), _LEXICAL + len(names))
+    for i, k in enumerate([*(f"#{i}" for i in range(_LEXICAL)), *names, *(f"tag {i}" for i in range(len(TAGS) + 2))]):
+        if k in sums:
+            learned.crf.theta[i] = sums[k][:-1] / sums[k][-1] * _GRAIN
+    return learned
 
 
-def stored_model(spark: SparkSession, rows: list[tuple[str, str]]) -> Model:
-    """The model of these rows, trained once: it is kept in the shared folder by a hash of the rows and of this code's parameters."""
-    key = hashlib.sha256(repr((sorted(rows), VERSION, CUES, EXAMPLES, OTHER_LANGUAGES, STOP_WORDS)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """Model from (question, answer) pairs that are trained on together, here; the same for the same rows."""
+    first, tally = _first(), _examples_tally()
+    parts = sorted({(q, p, i == 0) for q, a in rows for i, p in enumerate(pieces(a))})
+    for part in parts:
+        _count(tally, _spoken(first, *part), part[0])
+    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
+    groups: Counter[tuple[int, str, str]] = Counter()
+    for (k, w), (texts, times) in tally.items():
+        if k < len(LANGUAGES):
+            counts[w][k] = texts
+        for before, letter, n in letter_groups(w, times):
+            groups[k, before, letter] += n
+    learned = _learned(counts.items(), sum(counts.values(), np.zeros(len(LANGUAGES))), ((*g, n) for g, n in groups.items()))
+    return _joined(learned, _trained(learned, sorted({p[:2] for p in parts}), 0))
+
+
+def _fit_table(spark: SparkSession, parts: DataFrame, buckets: int) -> Model:
+    """``fit`` in tasks, for all pieces of a table: counts of the whole table, then a field for each bucket of pieces by hash, then their mean."""
+    ws = Workspace(spark, "pairs")
+    try:
+        first = spark.sparkContext.broadcast(_first())
+        tallied = "lang int, word string, texts bigint, times bigint"
+
+        def batch(tally: Tally) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"lang": k, "word": w, "texts": n, "times": m} for (k, w), (n, m) in tally.items()], pa.schema([("lang", pa.int32()), ("word", pa.string()), ("texts", pa.int64()), ("times", pa.int64())]))
+
+        def count(batches):
+            for b in batches:
+                tally = _tally()
+                for part in zip(*(b.column(c).to_pylist() for c in ("question", "piece", "begins"))):
+                    _count(tally, _spoken(first.value, *part), part[0])
+                yield batch(tally)
+
+        def group(batches):
+            schema = pa.schema([("lang", pa.int32()), ("before", pa.string()), ("letter", pa.string()), ("n", pa.int64())])
+            for b in batches:
+                groups: Counter[tuple[int, str, str]] = Counter()
+                for k, w, times in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "times"))):
+                    for before, letter, n in letter_groups(w, times):
+                        groups[k, before, letter] += n
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((*g, n) for g, n in groups.items())) if groups else [[]] * 4, schema)], schema=schema)
+
+        tasks = max(spark.sparkContext.defaultParallelism, buckets // 64)
+        told = parts.repartition(tasks, "question", "piece", "begins").distinct().mapInArrow(count, tallied)
+        examples = spark.createDataFrame([(*k, *v) for k, v in _examples_tally().items()], tallied)
+        words = ws.cut(told.unionByName(examples).groupBy("lang", "word").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times")), "words")
+        known = words.where(F.col("lang") < len(LANGUAGES))
+        total = np.zeros(len(LANGUAGES))
+        for lang, n in known.groupBy("lang").agg(F.sum("texts")).collect():
+            total[lang] = n
+        each = known.groupBy("word").agg(*(F.sum(F.when(F.col("lang") == k, F.col("texts")).otherwise(0)) for k in range(len(LANGUAGES))), F.sum("texts").alias("n")).where("n >= 3")
+        counts = [(r[0], np.asarray(r[1:-1], float)) for r in each.collect()]
+        groups = words.mapInArrow(group, "lang int, before string, letter string, n bigint").groupBy("lang", "before", "letter").agg(F.sum("n")).collect()
+        learned = _learned(counts, total, map(tuple, groups))
+        held = spark.sparkContext.broadcast(learned)
+
+        def train(batches):
+            rows: dict[int, set[tuple[str, str]]] = defaultdict(set)
+            for b in batches:
+                for k, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "question", "piece"))):
+                    rows[k].add(tuple(row))
+            for k in sorted(rows):
+                found = _trained(held.value, sorted(rows[k]), k)
+                columns = np.stack(list(found.values()), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *map(pa.array, columns)], names=["name", *(f"s{i}" for i in range(len(columns)))])
+
+        sums = [f"s{i}" for i in range(len(TAGS) + 1)]
+        bucket = F.pmod(F.xxhash64("question", "piece"), F.lit(buckets)).cast("int").alias("bucket")
+        apart = parts.select(bucket, "question", "piece").repartitionById(buckets, F.col("bucket"))
+        fields = apart.mapInArrow(train, ", ".join(["name string", *(f"{x} bigint" for x in sums)])).groupBy("name").agg(*(F.sum(x) for x in sums))
+        return _joined(learned, {r[0]: np.asarray(r[1:], float) for r in fields.collect()})
+    finally:
+        ws.close()
+
+
+def stored_model(spark: SparkSession, rows: DataFrame | list[tuple[str, str]]) -> Model:
+    """The model of these (question, answer) rows, all of them, trained once: it is kept in the shared folder by a hash of the rows and of this code's parameters."""
+    table = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "question string, answer string")
+
+    def cut(batches):
+        for b in batches:
+            made = [(q, p, i == 0) for q, a in zip(*(c.to_pylist() for c in b.columns)) for i, p in enumerate(pieces(a))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made) if made else [[]] * 3, (pa.string(), pa.string(), pa.bool_()))], names=["question", "piece", "begins"])
+
+    usable = table.select("question", "answer").where(F.col("question").isNotNull() & (F.length("answer") > 0))
+    parts = usable.mapInArrow(cut, "question string, piece string, begins boolean")
+    hashes = parts.select(F.xxhash64("question", "piece", "begins").alias("h"), F.xxhash64("begins", "piece", "question").alias("g")).distinct()
+    told = hashes.agg(F.count("*"), F.bit_xor("h"), F.bit_xor("g"), F.sum(F.pmod("h", F.lit(1 << 31))), F.sum(F.pmod("g", F.lit(1 << 31)))).first()
+    key = hashlib.sha256(repr((tuple(told), BUCKET_ROWS, PIECE, VERSION, CUES, EXAMPLES, OTHER_LANGUAGES, STOP_WORDS)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
     kept = Versions(spark, f"{shared_root(spark)}/textquarry-models/pairs-{key}")
     if kept.current():
         return pickle.loads(bytes(spark.read.parquet(kept.folder(1)).first()[0]))
-    model = fit(rows)
+    model = _fit_table(spark, parts, max(1, told[0] // BUCKET_ROWS)) if told[0] else fit([])
     model._words.clear()
+    model._asked.clear()
     stage = kept.stage()
     spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.parquet(stage)
     try:
@@ -521,26 +709,22 @@ def stored_model(spark: SparkSession, rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def defective_pairs(answers: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def defective_pairs(answers: DataFrame) -> DataFrame:
     """``(question_id, defect)``: one row for each defective pair.
 
     Defects: empty, truncated, refusal, copy, language. A response is cut into
     clauses, a conditional random field tags each as answer, refusal, echo,
     foreign or unfinished, and what the tags cover decides. Repeated rows count
     once. A null question has no language and no words, so only empty,
-    truncated and refusal are found; a null ``question_id`` is kept. The field
-    is trained on pairs made from the ``sample_rows`` rows of least hash and
-    from fixed examples, and kept for the next call with these rows; it then
-    tags every row. Whole texts are read.
+    truncated and refusal are found; a null ``question_id`` is kept. Words and
+    letter groups are counted in all rows, and fields are trained, in buckets,
+    on pairs made from all rows and from fixed examples; their mean is kept for
+    the next call with these rows. It then tags every row. Whole texts are
+    read, by both.
     """
     rows = answers.select("question_id", "question", "answer")
-    usable = F.col("question").isNotNull() & (F.length("answer") > 0) & (F.length("answer") + F.length("question") < SAMPLE_CHARS)
-    pairs = rows.where(usable).select(F.xxhash64("question", "answer").alias("h"), "question", "answer")
-    least = pairs.select("h").distinct().orderBy("h").limit(sample_rows)  # so many hashes; texts aren't shuffled
-    sample = pairs.join(F.broadcast(least), "h", "left_semi").distinct().collect()
-    taken = [(r[1], r[2]) for r in sorted(sample, key=tuple)][:sample_rows]
-    # a few thousand weights and words
-    held = answers.sparkSession.sparkContext.broadcast(stored_model(answers.sparkSession, taken))
+    # some thousand weights, and the words that tell languages
+    held = answers.sparkSession.sparkContext.broadcast(stored_model(answers.sparkSession, rows))
 
     def run(batches):
         defects = held.value.defects

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from random import Random
 
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -18,6 +19,19 @@ def disguised(text: str, r: Random) -> str:
     return "".join(out.get(c, c) if c.islower() else out.get(c.lower(), c).upper() for c in text)
 
 
+#: Weights of letter groups are whole multiples of one over this, so that their sum doesn't depend on the order.
+_UNIT = 1 << 20
+
+
+def letter_groups(word: str, times: int) -> Iterator[tuple[str, str, int]]:
+    """``(up to two letters before, letter, weight)`` of a word found so many times; frequent words count, but not for all."""
+    n = round((1 + math.log(times)) * _UNIT)
+    padded = f"  {word} "
+    for i in range(2, len(padded)):
+        for k in range(3):
+            yield padded[i - k : i], padded[i], n
+
+
 class Tongues:
     """Log probabilities of words in each known language and, last, in any other.
 
@@ -27,27 +41,15 @@ class Tongues:
     language never seen is likelier there than in any that is known.
     """
 
-    def __init__(self, texts: dict[str, list[list[str]]]):
-        """``texts``: words of the texts of each language; the last one is the other."""
-        self.names = list(texts)
-        self._models = [self._count(t) for t in texts.values()]
+    def __init__(self, names: list[str], groups: Iterable[tuple[int, str, str, int]]):
+        """``groups``: for the number of a name, letter groups and the sum of their weights. The last name is the other language."""
+        self.names = names
+        counts: list[list[dict[str, Counter]]] = [[defaultdict(Counter) for _ in range(3)] for _ in names]
+        for k, before, letter, n in groups:
+            counts[k][len(before)][before][letter] += n / _UNIT
+        self._models = [[{before: (c, math.fsum(c.values())) for before, c in g.items()} for g in m] for m in counts]
         self._known: dict[str, tuple[float, ...]] = {}
 
-    @staticmethod
-    def _count(texts: list[list[str]]):
-        grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(3)]
-        seen: Counter[str] = Counter()
-        for words in texts:
-            for w in words:
-                seen[w] += 1
-        for w, n in seen.items():
-            n = 1 + math.log(n)  # frequent words count, but not for all
-            padded = f"  {w} "
-            for i in range(2, len(padded)):
-                for k in range(3):
-                    grams[k][padded[i - k : i]][padded[i]] += n
-        return [{ctx: (c, sum(c.values())) for ctx, c in g.items()} for g in grams]
-
     def _log(self, model, word: str, floor: float) -> float:
         total, padded = 0.0, f"  {word} "
         for i in range(2, len(padded)):
