@@ -151,3 +151,16 @@ def test_keyed_lookup_splits_hot_keys(spark):
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("v").alias("m"))
     got = keyed_lookup(rows, table, ["k"], "w", 1001, hot_keys=8)
     assert sorted((r.k, r.v, r.w, r.m) for r in got.collect()) == sorted([("hot", i, 900, 899) for i in range(900)] + [(f"k{i}", i, 1, i) for i in range(100)])
+
+
+def _cited(spark):
+    files = spark.createDataFrame([("f", "hello world"), ("g", "other"), ("unread", None), ("uncited", "x")], "file_path string, text string")
+    rows = [("1", "q", [("f", 0, 5), ("gone", 0, 5), ("g", 1, 9)]), ("2", "q", [("f", 0, 5), ("unread", 0, 5), (None, 0, 5), ("f", 6, None)]), ("3", "q", [])]
+    return spark.createDataFrame(rows, f"question_id string, question string, retrieved_sources array<{SRC}>"), files
+
+
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_source_texts_of_few_and_of_many_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(prompts, "BROADCAST_SOURCES", few)
+    got = sorted((r.question_id, r["rank"], r.file_path, r.slice) for r in prompts.source_texts(*_cited(spark)).collect())
+    assert got == [("1", 1, "f", "hello"), ("1", 2, "gone", ""), ("1", 3, "g", "ther"), ("2", 1, "f", "hello"), ("2", 2, "unread", ""), ("2", 3, None, ""), ("2", 4, "f", "")]

@@ -33,16 +33,17 @@ def source_texts(results: DataFrame, files: DataFrame, extra: list[str] | None =
     src = src.select("question_id", *extra, (F.col("rank") + 1).alias("rank"), "src.*")
     place = ["file_path", "first_character_index", "last_character_index"]
     cited = src.select(*place).where(F.col("file_path").isNotNull()).distinct()
-    n = cited.count()
-    if n <= BROADCAST_SOURCES:
-        cited = F.broadcast(cited)
-    else:
+    few = cited.count() <= BROADCAST_SOURCES
+    if not few:
         files = files.join(cited.select("file_path").distinct(), "file_path", "left_semi")
-    cut = text_slice(F.col("text"), F.col("first_character_index"), F.col("last_character_index"))
-    slices = files.select("file_path", "text").join(cited, "file_path").select(*place, cut.alias("slice"))
-    same = [src[c].eqNullSafe(slices[c]) for c in place]
+    # names of their own: both sides come from the same rows, so the columns' origins don't tell them apart
+    own = [f"_{c}" for c in place]
+    wanted = cited.select(*(F.col(c).alias(o) for c, o in zip(place, own)))
+    cut = text_slice(F.col("text"), F.col(own[1]), F.col(own[2]))
+    slices = files.select(F.col("file_path").alias(own[0]), "text").join(F.broadcast(wanted) if few else wanted, own[0]).select(*own, cut.alias("slice"))
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(place, own)]
     rows = src.join(slices, same[0] & same[1] & same[2], "left")
-    return rows.select("question_id", *extra, "rank", src["file_path"], F.coalesce("slice", F.lit("")).alias("slice"))
+    return rows.select("question_id", *extra, "rank", "file_path", F.coalesce("slice", F.lit("")).alias("slice"))
 
 
 def prompt_blocks(results: DataFrame, files: DataFrame, budget: int = BUDGET, key: str = "question_id") -> DataFrame:
