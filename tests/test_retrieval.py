@@ -164,3 +164,9 @@ def test_source_texts_of_few_and_of_many_sources(spark, monkeypatch, few):
     monkeypatch.setattr(prompts, "BROADCAST_SOURCES", few)
     got = sorted((r.question_id, r["rank"], r.file_path, r.slice) for r in prompts.source_texts(*_cited(spark)).collect())
     assert got == [("1", 1, "f", "hello"), ("1", 2, "gone", ""), ("1", 3, "g", "ther"), ("2", 1, "f", "hello"), ("2", 2, "unread", ""), ("2", 3, None, ""), ("2", 4, "f", "")]
+
+
+def test_prompt_blocks_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "BROADCAST_SOURCES", 1)
+    got = sorted(map(tuple, prompts.prompt_blocks(*_cited(spark)).collect()))
+    assert got == [("1", 1, "[Source: f]\nhello"), ("1", 2, "[Source: g]\nther"), ("2", 1, "[Source: f]\nhello")]
