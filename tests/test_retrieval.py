@@ -170,3 +170,10 @@ def test_prompt_blocks_of_many_sources(spark, monkeypatch):
     monkeypatch.setattr(prompts, "BROADCAST_SOURCES", 1)
     got = sorted(map(tuple, prompts.prompt_blocks(*_cited(spark)).collect()))
     assert got == [("1", 1, "[Source: f]\nhello"), ("1", 2, "[Source: g]\nther"), ("2", 1, "[Source: f]\nhello")]
+
+
+def test_prompts_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "BROADCAST_SOURCES", 1)
+    got = {r.question_id: r.prompt for r in prompts.prompts(*_cited(spark)).collect()}
+    contexts = {"1": "[Source: f]\nhello\n\n[Source: g]\nther", "2": "[Source: f]\nhello", "3": ""}
+    assert got == {i: f"{prompts.INSTRUCTION}\n\nContext:\n{c}\n\nQuestion: q\nAnswer:" for i, c in contexts.items()}
