@@ -177,3 +177,11 @@ def test_prompts_of_many_sources(spark, monkeypatch):
     got = {r.question_id: r.prompt for r in prompts.prompts(*_cited(spark)).collect()}
     contexts = {"1": "[Source: f]\nhello\n\n[Source: g]\nther", "2": "[Source: f]\nhello", "3": ""}
     assert got == {i: f"{prompts.INSTRUCTION}\n\nContext:\n{c}\n\nQuestion: q\nAnswer:" for i, c in contexts.items()}
+
+
+def test_answers_of_many_sources_keep_wide_spaces(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "BROADCAST_SOURCES", 1)
+    rows, files = _cited(spark)
+    files = files.withColumn("text", F.when(F.col("file_path") == "f", " 16\xa0\n s\xa0").otherwise(F.col("text")))
+    got = {r.question_id: r.answer for r in answering.answer_results(rows, files).collect()}
+    assert got == {"1": "16\xa0 [Source: g] ther", "2": "16", "3": answering.NO_SOURCES}

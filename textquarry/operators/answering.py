@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from .prompts import prompts
 # What is said without sources, and the greatest length of an answer. Fixed values.
 NO_SOURCES = "No relevant sources found -- cannot answer."
 MAX_NEW_TOKENS = 300
+#: White space that is drawn together within an answer, and (with all of Unicode's space separators) taken off its ends.
+BLANKS = "\t\n\f\r "
+ENDS = BLANKS + "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 class Generator(Protocol):
@@ -30,7 +34,7 @@ class ExtractiveGenerator:
     def generate(self, prompt: str) -> str:
         context = prompt.partition("\n\nContext:\n")[2].rpartition("\n\nQuestion: ")[0]
         body = context.partition("]\n")[2] if context.startswith("[Source: ") else context
-        return " ".join(body.split())[: self.max_chars].strip()
+        return re.sub(f"[{BLANKS}]+", " ", body).strip(ENDS)[: self.max_chars].strip(ENDS)
 
 
 def generate(prompted: DataFrame, generator: Generator) -> DataFrame:
@@ -42,7 +46,7 @@ def generate(prompted: DataFrame, generator: Generator) -> DataFrame:
             answers = []
             for p in b.column(1).to_pylist():
                 try:
-                    answers.append(generator.generate(p).strip())
+                    answers.append(generator.generate(p).strip(ENDS))
                 except Exception as e:  # one bad row must not end the batch
                     answers.append(f"Generation failed: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.string())], names=["question_id", "answer"])
