@@ -185,3 +185,23 @@ def test_answers_of_many_sources_keep_wide_spaces(spark, monkeypatch):
     files = files.withColumn("text", F.when(F.col("file_path") == "f", " 16\xa0\n s\xa0").otherwise(F.col("text")))
     got = {r.question_id: r.answer for r in answering.answer_results(rows, files).collect()}
     assert got == {"1": "16\xa0 [Source: g] ther", "2": "16", "3": answering.NO_SOURCES}
+
+
+def _many_questions(spark, ws):
+    """Chunks whose words are common, rare and in between, with ties, and questions of them."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i % m] for m in (1, 2, 3, 7, 40)) for i in range(300)]
+    asked = [(i, " ".join(words[(i * s) % 40] for s in range(1 + i % 6))) for i in range(60)] + [(60, None), (61, "unknown")]
+    return spark.createDataFrame(asked, "question_id long, question string"), _index(spark, ws, texts)
+
+
+@pytest.mark.parametrize("terms,chunks", [(500_000, 20_000), (40, 70)])
+def test_search_gives_the_best_of_all_scores(spark, ws, monkeypatch, terms, chunks):
+    questions, index = _many_questions(spark, ws)
+    want = sorted(map(tuple, lexical.top(lexical.scores(questions, index), 10).collect()))
+    monkeypatch.setattr(lexical, "SEARCH_TERMS", terms)
+    monkeypatch.setattr(lexical, "SEARCH_CHUNKS", chunks)
+    found = lexical.search(questions, index, 10)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    # no row for every question and chunk that meet
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
