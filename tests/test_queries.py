@@ -53,3 +53,8 @@ def test_every_true_source_counts(spark):
     for r in queries.mean_recall(spark, SF).collect():
         own = [v for (_, k), v in recall.items() if k == r.k]
         assert abs(r.recall - sum(own) / len(own)) < 1e-6
+
+
+def test_counts_of_chunks_shuffle_texts_once(spark):
+    plan = queries.bm25_tf(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
