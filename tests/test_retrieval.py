@@ -205,3 +205,14 @@ def test_search_gives_the_best_of_all_scores(spark, ws, monkeypatch, terms, chun
     assert sorted(map(tuple, found.collect())) == want and len(want) > 500
     # no row for every question and chunk that meet
     assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosine_in_tiles_shuffles_once(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "chunk_ord long, embedding array<float>")
+    q = v.where("chunk_ord < 9").withColumnRenamed("chunk_ord", "question_id")
+    want = sorted(map(tuple, dense.cosine_top(q, v, 5).collect()))
+    monkeypatch.setattr(dense, "QUESTION_TILE", 2)
+    found = dense.cosine_top(q, v, 5)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 45
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
