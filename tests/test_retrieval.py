@@ -216,3 +216,16 @@ def test_cosine_in_tiles_shuffles_once(spark, monkeypatch):
     found = dense.cosine_top(q, v, 5)
     assert sorted(map(tuple, found.collect())) == want and len(want) == 45
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_best_chunks_leave_out_what_common_terms_cannot_lift():
+    import types
+
+    import pyarrow as pa
+
+    # term 0 is in all 40 chunks, term 1 in two, term 2 in none
+    no, chunk, part = [0] * 40 + [1, 1], [*range(40), 7, 5], [0.1] * 40 + [2.0, 2.0]
+    batch = pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), pa.array(chunk, pa.int64()), pa.array(part)], names=["no", "chunk_ord", "part"])
+    held = types.SimpleNamespace(value=(pa.array(["a", "b", "c"]), [0, 2, 3, 4], pa.array([0, 1, 0, 2], pa.int32()).to_numpy(), 3))
+    for k, want in ((2, [("a", 5, 2.1), ("a", 7, 2.1), ("b", 0, 0.1), ("b", 1, 0.1)]), (3, [("a", 5, 2.1), ("a", 7, 2.1), ("a", 0, 0.1), ("b", 0, 0.1), ("b", 1, 0.1), ("b", 2, 0.1)])):
+        assert [tuple(r.values()) for b in lexical._best_chunks([batch], held, k) for r in b.to_pylist()] == want
